@@ -38,7 +38,7 @@ def ingest_csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, table = scratch_path(spark, "raw-csv"), scratch_path(spark, "placements")
     fx.raw_log(spark, sf_dir).write.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(raw)
     write_placements(ingest_placements(read_raw_log(spark, raw)), table)
-    per_user = read_placements(spark, table).groupBy("event_date", "user_id").agg(
+    per_user = read_placements(spark, table).groupBy(F.col("event_date").cast("string").alias("day"), "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
     return fx.comparable(per_user.drop("user_id"))
 
@@ -295,7 +295,7 @@ def rule_attribution(df):
     gap = F.log1p(F.col("time_since_last_change_sec"))
     return known.select(F.inline(F.array(
         F.struct(F.lit("prior_changes_at_pixel").alias("feature"), prior.alias("value"), (tilt * prior).alias("contribution")),
-        F.struct(F.lit("log_time_since_last_change"), gap, tilt / (gap + 1)),
+        F.struct(F.lit("log_time_since_last_change").alias("feature"), gap.alias("value"), (tilt / (gap + 1)).alias("contribution")),
     )))
 
 

@@ -157,7 +157,7 @@ def _histogram(source: str, column: str, bins: int, log10: bool = False) -> str:
 ORACLES = {
     "ingest_placements": _sql("SELECT ts, pc, x, y FROM p", "p"),
     "ingest_csv_to_parquet": _sql("""
-        SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, min(ts) AS first_ts,
+        SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, min(ts) AS first_ts,
                CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y
         FROM p GROUP BY CAST(ts AS DATE), user_id""", "p"),
     "color_rank": _sql(f"""

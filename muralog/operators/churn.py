@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from muralog.operators.cohorts import placements_of
+from muralog.sources.scratch import sized
+
 
 def pixel_churn(df: DataFrame) -> DataFrame:
     """`x, y, edits` for every pixel that was ever set."""
@@ -17,22 +20,18 @@ def high_churn_pixels(df: DataFrame, min_edits: int = 50) -> DataFrame:
 
 
 def hot_pixels(df: DataFrame, min_edits: int = 100) -> DataFrame:
-    """`x, y` of the pixels with more than `min_edits` edits.
-
-    When the set is joined to placements several times, stage it first
-    (`sources.scratch.stage`): the planner then knows its size.
-    """
+    """`x, y` of the pixels with more than `min_edits` edits."""
     return pixel_churn(df).filter(F.col("edits") > min_edits).select("x", "y")
 
 
 def hot_pixel_users(df: DataFrame, hot: DataFrame) -> DataFrame:
     """`user_id, edits_on_hot_pixels`, busiest first.
 
-    `hot` has unique pixels, so the join is a filter on placements. No hint is
-    given: a small set is broadcast, a large one shuffled with its skewed
-    partitions split.
+    `hot` is a filter on placements: where its counted size allows a broadcast,
+    placements are not shuffled by pixel, and only counts per user move.
     """
-    on_hot = df.select("user_id", "x", "y").join(hot.select("x", "y"), ["x", "y"], "left_semi")
+    hot = sized(hot.select("x", "y"), "hot-pixels")
+    on_hot = df.select("user_id", "x", "y").join(hot, ["x", "y"], "left_semi")
     return (
         on_hot.groupBy("user_id").agg(F.count(F.lit(1)).alias("edits_on_hot_pixels"))
         .orderBy(F.desc("edits_on_hot_pixels"), "user_id")
@@ -50,11 +49,8 @@ def hot_edit_focus(df: DataFrame, users: DataFrame, hot: DataFrame) -> DataFrame
     Placements are read once: total and hot edits are counted in the same
     aggregate, which combines on the map side.
     """
-    flagged = (
-        df.select("user_id", "x", "y")
-        .join(users.select("user_id"), "user_id", "left_semi")
-        .join(hot.select("x", "y", F.lit(1).alias("is_hot")), ["x", "y"], "left")
-    )
+    hot = sized(hot.select("x", "y"), "hot-pixels").withColumn("is_hot", F.lit(1))
+    flagged = placements_of(df.select("user_id", "x", "y"), users).join(hot, ["x", "y"], "left")
     return (
         flagged.groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("total_edits"), F.count("is_hot").alias("hot_edits"))

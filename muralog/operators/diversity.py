@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muralog.operators.charts import histogram
+from muralog.operators.cohorts import placements_of
 
 
 def color_use(df: DataFrame) -> DataFrame:
@@ -36,13 +37,13 @@ def low_diversity_users(df: DataFrame, min_edits: int = 200, max_colors: int = 2
 
 def cohort_placements(df: DataFrame, users: DataFrame) -> DataFrame:
     """`x, y` of every placement by the given users."""
-    return df.join(users.select("user_id"), "user_id", "left_semi").select("x", "y")
+    return placements_of(df.select("user_id", "x", "y"), users).select("x", "y")
 
 
 def top_cohort_placements(df: DataFrame, users: DataFrame, n: int = 5) -> DataFrame:
     """`user_id, x, y` of the placements by the n most extreme users."""
     chosen = users.orderBy("color_diversity_ratio", F.desc("total_edits"), "user_id").limit(n)
-    return df.select("user_id", "x", "y").join(chosen.select("user_id"), "user_id", "left_semi")
+    return placements_of(df.select("user_id", "x", "y"), chosen)
 
 
 def dominant_color_share(df: DataFrame) -> DataFrame:

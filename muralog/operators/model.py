@@ -74,7 +74,7 @@ def forest_nodes(model: PipelineModel, spark) -> DataFrame:
     n = F.col("nodeData")
     return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), n["id"].alias("node"),
-        n["split.featureIndex"].alias("feature"), n["split.leftCategoriesOrThreshold"][0].alias("threshold"),
+        n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         n["leftChild"].alias("left"), n["rightChild"].alias("right"),
         F.try_divide(n["impurityStats"][1], n["impurityStats"][0] + n["impurityStats"][1]).alias("prob"),
     )

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muralog.functions.clock import crossed_minutes, crossed_seconds, in_unit, instant
+from muralog.operators.cohorts import placements_of
 from muralog.sources.placements import before
+from muralog.sources.scratch import BROADCAST_ROWS, stage
 
 
 def user_bounds(df: DataFrame) -> DataFrame:
@@ -26,8 +28,7 @@ def newcomers_per_minute(df: DataFrame, unit: str = "minute") -> DataFrame:
 def spike_first_time_users(df: DataFrame, minute, unit: str = "minute") -> DataFrame:
     """Users whose first placement lies in that unit, one row; later placements are not read."""
     end = instant(minute) + F.expr(f"INTERVAL 1 {unit}")
-    firsts = before(df, end).groupBy("user_id").agg(F.min("ts").alias("first_ts"))
-    return firsts.filter(in_unit(F.col("first_ts"), unit, minute)).agg(F.count(F.lit(1)).alias("first_time_users"))
+    return _bounds_from(before(df, end), minute, unit).agg(F.count(F.lit(1)).alias("first_time_users"))
 
 
 def first_time_user_baseline(df: DataFrame, unit: str = "minute") -> DataFrame:
@@ -86,20 +87,32 @@ def lifespan_cohort_placements(df: DataFrame, lifespans: DataFrame,
                                max_minutes: int | None = None, min_minutes: int | None = None) -> DataFrame:
     """`x, y` of the placements by users whose span is at most / at least the given minutes.
 
-    The cohort grows with the data, so it is joined and never listed in the query;
-    an empty cohort gives an empty result.
+    An empty cohort gives an empty result.
     """
     cohort = lifespans
     if max_minutes is not None:
         cohort = cohort.filter(F.col("lifespan_minutes") <= max_minutes)
     if min_minutes is not None:
         cohort = cohort.filter(F.col("lifespan_minutes") >= min_minutes)
-    return df.select("user_id", "x", "y").join(cohort.select("user_id"), "user_id", "left_semi").select("x", "y")
+    return placements_of(df.select("user_id", "x", "y"), cohort).select("x", "y")
 
 
 def _spike_spans(df: DataFrame, minute, unit: str) -> DataFrame:
-    return user_bounds(df).filter(in_unit(F.col("first_ts"), unit, minute)).select(
+    return _bounds_from(df, minute, unit).select(
         "user_id", "first_ts", "last_ts",
         crossed_minutes("first_ts", "last_ts").alias("lifespan_minutes"),
         crossed_seconds("first_ts", "last_ts").alias("lifespan_seconds"),
     )
+
+
+def _bounds_from(df: DataFrame, minute, unit: str) -> DataFrame:
+    """`user_bounds` of the users whose first placement lies in that unit.
+
+    Only users who placed anything in the unit can qualify. They are few, so the
+    scan drops everybody else and the grouping moves their bounds only. Where they
+    are not few, all users are grouped instead.
+    """
+    active = stage(df.filter(in_unit(F.col("ts"), unit, minute)).select("user_id").distinct(), "unit-users")
+    if active.count() <= BROADCAST_ROWS:
+        df = df.join(F.broadcast(active), "user_id", "left_semi")
+    return user_bounds(df).filter(in_unit(F.col("first_ts"), unit, minute))

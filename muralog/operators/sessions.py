@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from muralog.functions.clock import MICROS, crossed_minutes, crossed_seconds, micros, seconds_between, slot_start
+from muralog.operators.cohorts import placements_of
 from muralog.operators.neighbours import with_neighbours
 from muralog.sources.placements import in_window
 
@@ -60,7 +61,7 @@ def avg_session_length(df: DataFrame, start, end, gap_seconds: float = 15 * 60)
 
 def user_sessions(df: DataFrame, users: DataFrame | None = None, gap_seconds: float = 30 * 60) -> DataFrame:
     """Sessions of the given users, or of all users, with their length in minutes."""
-    events = df if users is None else df.join(users.select("user_id"), "user_id", "left_semi")
+    events = df if users is None else placements_of(df, users)
     return sessions(events, gap_seconds).select(
         "user_id", "session_id", "start_ts", "end_ts",
         crossed_minutes("start_ts", "end_ts").alias("session_length_min"),
@@ -75,7 +76,7 @@ def inter_placement_deltas(df: DataFrame, users: DataFrame | None = None, **spli
     """
     events = df.select("event_id", "user_id", "ts")
     if users is not None:
-        events = events.join(users.select("user_id"), "user_id", "left_semi")
+        events = placements_of(events, users)
     return with_neighbours(events, ["user_id"], **split).select(
         "event_id", "user_id", "ts", seconds_between("prev_ts", "ts").alias("delta_seconds"),
     )

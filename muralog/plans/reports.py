@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 
 from muralog.operators import activity, baseline, charts, churn, diversity, newcomers, sessions
@@ -10,6 +12,8 @@ from muralog.sources.scratch import stage
 
 def baseline_report(df: DataFrame, start, end, gap_seconds: float = 15 * 60) -> dict[str, DataFrame]:
     """Colour rank, session length, percentiles and first-time users of one window."""
+    if datetime.fromisoformat(str(end)) <= datetime.fromisoformat(str(start)):
+        raise ValueError("the window must end after it starts")
     return {
         "color_rank": baseline.color_rank(df, start, end),
         "avg_session_length": sessions.avg_session_length(df, start, end, gap_seconds),
@@ -25,8 +29,8 @@ def contested_pixels_report(df: DataFrame, churn_edits: int = 50, hot_edits: int
     Edits per pixel are counted once and staged; every threshold reads that table.
     """
     pixels = stage(churn.pixel_churn(df), "pixel-churn")
-    hot = stage(pixels.filter(f"edits > {hot_edits}").select("x", "y"), "hot-pixels")
-    hottest = pixels.filter(f"edits > {focus_edits}").select("x", "y")
+    hot = pixels.filter(f"edits > {hot_edits}")
+    hottest = pixels.filter(f"edits > {focus_edits}")
     ranked = stage(churn.hot_pixel_users(df, hot), "hot-pixel-users")
     top = stage(churn.top_users(ranked, users), "top-users")
     deltas = sessions.inter_placement_deltas(df, top)

@@ -33,8 +33,7 @@ def write_placements(df: DataFrame, path: str, mode: str = "error",
     keys = [F.col("ts"), F.col("event_id")]
     spread = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     (
-        spread.sortWithinPartitions("ts", "event_id")
-        .withColumn(DAY, F.to_date("ts"))
+        spread.withColumn(DAY, F.to_date("ts")).sortWithinPartitions(DAY, "ts", "event_id")
         .write.mode(mode).option("compression", "zstd").partitionBy(DAY).parquet(path)
     )
 

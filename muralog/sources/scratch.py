@@ -48,6 +48,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """Stage the small side of a join and let its counted length decide how it is joined.
+
+    Without this the planner only learns the size of a computed side after the
+    large side has been shuffled as well.
+    """
+    return broadcast_if_small(stage(df, label))
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a staged table for broadcast if its counted length allows it.
 
