@@ -35,7 +35,7 @@ def placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_placements(events.select(
         "event_id", "ts", "user_id", color.alias("pc"),
         F.least(F.floor(F.col("value") / 4), F.lit(39)).cast("int").alias("x"),
-        (F.get_json_object("props", "$.k").cast("int") % 40).alias("y"),
+        (F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int") % 40).alias("y"),
     ))
 
 

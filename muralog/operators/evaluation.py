@@ -65,10 +65,12 @@ def attribution_direction(attribution: DataFrame) -> DataFrame:
     """`feature, correlation, direction` between a feature's value and its contribution.
 
     Direction is 1 where higher values raise the outcome, -1 where they lower it
-    and 0 where there is no linear relation.
+    and 0 where there is no linear relation; a feature that never varies has no
+    correlation.
     """
-    r = attribution.groupBy("feature").agg(F.corr("value", "contribution").alias("correlation"))
-    r = r.withColumn("correlation", F.when(~F.isnan("correlation"), F.col("correlation")))
+    spread = F.stddev_pop("value") * F.stddev_pop("contribution")
+    r = attribution.groupBy("feature").agg(
+        F.try_divide(F.covar_pop("value", "contribution"), spread).alias("correlation"))
     return r.withColumn("direction", F.coalesce(F.signum("correlation"), F.lit(0.0)).cast("int")).orderBy("feature")
 
 
