@@ -23,10 +23,12 @@ def sample_key(row_id: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(row_id) if isinstance(row_id, str) else row_id, F.lit(str(seed))))
 
 
-def key_below(key: Column, share: Column | float) -> Column:
-    """True for the keys in the lowest `share` (0..1) of the key space."""
-    share = share if isinstance(share, Column) else F.lit(float(share))
-    scale = float(16 ** HEX_DIGITS - 1)
-    top = F.floor(F.least(share, F.lit(1.0)) * F.lit(scale)).cast("long")
-    mark = F.lpad(F.lower(F.hex(top)), HEX_DIGITS, "0")
-    return F.substring(key, 1, HEX_DIGITS) <= mark
+def key_mark(share: float) -> str:
+    """The end of the lowest `share` (0..1) of the key space, as leading digits of a key."""
+    top = int(min(share, 1.0) * (16 ** HEX_DIGITS - 1))
+    return f"{top:0{HEX_DIGITS}x}"
+
+
+def key_up_to(key: Column, mark: Column | str) -> Column:
+    """True for the keys up to a mark."""
+    return F.substring(key, 1, HEX_DIGITS) <= (F.lit(mark) if isinstance(mark, str) else mark)

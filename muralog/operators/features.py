@@ -99,24 +99,32 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
     )
     numbers = ["events", "users", "colors"]
     piece = (F.col("at") - F.pmod(F.col("at"), F.lit(width).cast("long"))).alias("piece")
-    steps = steps.select("gx", "gy", piece, "at", *numbers)
     asked = asked.select("event_id", "gx", "gy", piece, "at")
 
+    # Steps are added up per piece, and per instant only in pieces with sampled rows.
+    # Both levels read the result of this one shuffle.
+    pieces = asked.select("gx", "gy", "piece").distinct().withColumn("is_asked", F.lit(True))
+    steps = (
+        steps.select("gx", "gy", piece, "at", *numbers)
+        .join(broadcast_if_small(stage(pieces, "sampled-pieces")), ["gx", "gy", "piece"], "left")
+        .groupBy("gx", "gy", "piece", F.when(F.col("is_asked"), F.col("at")).alias("at"))
+        .agg(*[F.sum(n).alias(n) for n in numbers])
+    )
+
     # Level 1: what all earlier pieces of the cell add up to. Pieces of sampled
     # rows take part with zeros, so that a piece without steps has its sum too.
+    zeros = [F.lit(0).cast("long").alias(n) for n in numbers]
     whole = (
-        steps.select("gx", "gy", "piece", *numbers)
-        .unionByName(asked.select("gx", "gy", "piece", *[F.lit(0).cast("long").alias(n) for n in numbers]))
+        steps.drop("at").unionByName(asked.select("gx", "gy", "piece", *zeros))
         .groupBy("gx", "gy", "piece").agg(*[F.sum(n).alias(n) for n in numbers])
     )
     earlier = Window.partitionBy("gx", "gy").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = whole.select("gx", "gy", "piece", *[F.sum(n).over(earlier).alias(f"c_{n}") for n in numbers])
 
     # Level 2: the steps inside the piece, strictly before the sampled instant.
-    pieces = asked.select("gx", "gy", "piece").distinct()
     inside = (
-        steps.join(pieces, ["gx", "gy", "piece"], "left_semi").withColumn("event_id", F.lit(None).cast("long"))
-        .unionByName(asked.select("*", *[F.lit(0).cast("long").alias(n) for n in numbers]))
+        steps.withColumn("event_id", F.lit(None).cast("long"))
+        .unionByName(asked.select("*", *zeros))
     )
     strictly_before = (
         Window.partitionBy("gx", "gy", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
@@ -133,10 +141,9 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
 
 
 def _event_steps(near: DataFrame, span: int) -> DataFrame:
-    """+1 at each placement and -1 a lookback later; placements of one instant are counted together."""
-    at_once = near.groupBy("gx", "gy", "at").agg(F.count(F.lit(1)).alias("n"))
-    return _steps(at_once, "events", F.struct(F.col("at").alias("at"), F.col("n").alias("step")),
-                  F.struct((F.col("at") + span).alias("at"), (-F.col("n")).alias("step")))
+    """+1 at each placement and -1 a lookback later."""
+    one = F.lit(1).cast("long")
+    return _steps(near, "events", (F.col("at"), one), (F.col("at") + span, -one))
 
 
 def _presence_steps(near: DataFrame, member: str, span: int, number: str) -> DataFrame:
@@ -148,20 +155,17 @@ def _presence_steps(near: DataFrame, member: str, span: int, number: str) -> Dat
         "gx", "gy", "first", "last",
         F.lag("last").over(order).alias("previous"), F.lead("first").over(order).alias("following"),
     )
-    comes = F.when(F.coalesce(F.col("first") - F.col("previous") > span, F.lit(True)),
-                   F.struct(F.col("first").alias("at"), F.lit(1).cast("long").alias("step")))
-    leaves = F.when(F.coalesce(F.col("following") - F.col("last") > span, F.lit(True)),
-                    F.struct((F.col("last") + span).alias("at"), F.lit(-1).cast("long").alias("step")))
-    return _steps(runs, number, comes, leaves)
+    comes = F.when(F.col("first") - F.col("previous") <= span, 0).otherwise(1).cast("long")
+    leaves = F.when(F.col("following") - F.col("last") <= span, 0).otherwise(-1).cast("long")
+    return _steps(runs, number, (F.col("first"), comes), (F.col("last") + span, leaves))
 
 
-def _steps(df: DataFrame, number: str, *changes: Column) -> DataFrame:
-    step = F.explode(F.array_compact(F.array(*changes))).alias("change")
+def _steps(df: DataFrame, number: str, *changes: tuple[Column, Column]) -> DataFrame:
+    """One row per change of `number`: where it happens and by how much."""
     zero = F.lit(0).cast("long")
-    return df.select("gx", "gy", step).select(
-        "gx", "gy", F.col("change.at").alias("at"),
-        *[(F.col("change.step") if n == number else zero).alias(n) for n in ("events", "users", "colors")],
-    )
+    both = F.array(*[F.struct(at.alias("at"), step.alias("step")) for at, step in changes])
+    return df.select("gx", "gy", F.inline(both)).filter("step <> 0").select(
+        "gx", "gy", "at", *[(F.col("step") if n == number else zero).alias(n) for n in ("events", "users", "colors")])
 
 
 def survival_features(full: DataFrame, sample: DataFrame, minutes: float = 30, size: int = 20,

@@ -47,7 +47,7 @@ def with_neighbours(df: DataFrame, keys: Sequence[str], target_rows: int = TARGE
         return _ordered(df, list(keys))
 
     piece = F.when(F.col("_width").isNotNull(),
-                   F.expr(f"(unix_micros(ts) - _lo) div _width")).otherwise(F.lit(-1)).alias("_piece")
+                   F.expr("(unix_micros(ts) - _lo) div _width")).otherwise(F.lit(-1)).alias("_piece")
     cut = df.join(broadcast_if_small(heavy), list(keys), "left").select(*df.columns, piece)
     parts = [*keys, "_piece"]
 

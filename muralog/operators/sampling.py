@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from muralog.functions.bins import left_closed_bin
 from muralog.functions.clock import epoch_seconds, micros
-from muralog.functions.keys import key_below, sample_key
+from muralog.functions.keys import key_mark, key_up_to, sample_key
 from muralog.operators.charts import extent
 from muralog.sources.scratch import stage
 
@@ -51,12 +51,12 @@ def lowest_keys(df: DataFrame, sizes: dict[int, int], n: int, seed: int, stratum
     if all(size <= n for size in sizes.values()):
         return df
     margin = 10 * math.sqrt(n) + 100
-    high = {s: min(1.0, (n + margin) / size) for s, size in sizes.items()}
-    low = {s: 1.0 if size <= n else max(0.0, (n - margin) / size) for s, size in sizes.items()}
+    high = {s: key_mark((n + margin) / size) for s, size in sizes.items()}
+    low = {s: key_mark(1.0 if size <= n else max(0.0, (n - margin) / size)) for s, size in sizes.items()}
     keyed = df.withColumn("_key", sample_key("event_id", seed))
     near = stage(
-        keyed.filter(key_below(F.col("_key"), _lookup(F.col(stratum), high)))
-        .withColumn("_sure", key_below(F.col("_key"), _lookup(F.col(stratum), low))),
+        keyed.filter(key_up_to(F.col("_key"), _lookup(F.col(stratum), high)))
+        .withColumn("_sure", key_up_to(F.col("_key"), _lookup(F.col(stratum), low))),
         "sample",
     )
     counts = {(r[stratum], r["_sure"]): r["count"] for r in near.groupBy(stratum, "_sure").count().collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from muralog.functions.bins import left_closed_bin, right_closed_bin
 from muralog.functions.clock import crossed_minutes, crossed_seconds, in_unit, seconds_between, slot_start
-from muralog.functions.keys import key_below, sample_key
+from muralog.functions.keys import key_mark, key_up_to, sample_key
 from muralog.operators import charts
 
 
@@ -71,6 +71,6 @@ def test_empty_input_gives_empty_charts(spark, events):
 
 def test_sampling_keys_are_even(spark):
     keys = spark.range(20_000).select(sample_key("id", 3).alias("k"))
-    below = keys.filter(key_below(F.col("k"), 0.1)).count()
+    below = keys.filter(key_up_to(F.col("k"), key_mark(0.1))).count()
     assert abs(below - 2000) < 5 * 43
-    assert keys.filter(key_below(F.col("k"), 1.0)).count() == 20_000
+    assert keys.filter(key_up_to(F.col("k"), key_mark(1.0))).count() == 20_000
