@@ -65,7 +65,7 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
     """Placements, distinct users and distinct colours in the same cell over `[t - lookback, t)`.
 
     Returns `event_id, local_event_count, local_unique_users, local_unique_colors`
-    for every sampled row.
+    for every sampled row. The sample is read several times, so pass a written table.
 
     Pairing each sampled row with its neighbours grows with the square of a busy
     cell. Counting needs no pairs: a placement at e is in view for t in
@@ -80,7 +80,6 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
     width = max(1, span // slices)
     asked = grid_cell(sample.select("event_id", "ts", "x", "y"), size).select(
         "event_id", "gx", "gy", micros("ts").alias("at"))
-    asked = stage(asked, "sampled-cells")
 
     # Placements that any sampled row can see: same cell, in its own or the preceding lookback slot.
     slot = F.col("at") - F.pmod(F.col("at"), F.lit(span).cast("long"))
@@ -92,13 +91,14 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
         .join(broadcast_if_small(stage(seen, "sampled-slots")), ["gx", "gy", "slot"], "left_semi")
     )
 
-    steps = (
-        _event_steps(near, span)
-        .unionByName(_presence_steps(near, "user_id", span, "users"))
-        .unionByName(_presence_steps(near, "pc", span, "colors"))
-    )
+    # Sampled rows take part with steps of zero, so that their piece always has a sum.
     numbers = ["events", "users", "colors"]
+    zeros = [F.lit(0).cast("long").alias(n) for n in numbers]
     piece = (F.col("at") - F.pmod(F.col("at"), F.lit(width).cast("long"))).alias("piece")
+    steps = (
+        _event_steps(near, span).unionByName(_presence_steps(near, span))
+        .unionByName(asked.filter("gx IS NOT NULL AND gy IS NOT NULL").select("gx", "gy", "at", *zeros))
+    )
     asked = asked.select("event_id", "gx", "gy", piece, "at")
 
     # Steps are added up per piece, and per instant only in pieces with sampled rows.
@@ -111,26 +111,22 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
         .agg(*[F.sum(n).alias(n) for n in numbers])
     )
 
-    # Level 1: what all earlier pieces of the cell add up to. Pieces of sampled
-    # rows take part with zeros, so that a piece without steps has its sum too.
-    zeros = [F.lit(0).cast("long").alias(n) for n in numbers]
-    whole = (
-        steps.drop("at").unionByName(asked.select("gx", "gy", "piece", *zeros))
-        .groupBy("gx", "gy", "piece").agg(*[F.sum(n).alias(n) for n in numbers])
-    )
+    # Level 1: what all earlier pieces of the cell add up to.
+    whole = steps.groupBy("gx", "gy", "piece").agg(*[F.sum(n).alias(n) for n in numbers])
     earlier = Window.partitionBy("gx", "gy").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = whole.select("gx", "gy", "piece", *[F.sum(n).over(earlier).alias(f"c_{n}") for n in numbers])
 
-    # Level 2: the steps inside the piece, strictly before the sampled instant.
+    # Level 2: the steps inside the piece, strictly before the sampled instant. There
+    # is one row of steps per instant, and sampled rows sort ahead of it.
     inside = (
         steps.withColumn("event_id", F.lit(None).cast("long"))
         .unionByName(asked.select("*", *zeros))
     )
-    strictly_before = (
-        Window.partitionBy("gx", "gy", "piece").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    so_far = (
+        Window.partitionBy("gx", "gy", "piece").orderBy("at", F.asc_nulls_last("event_id"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    within = inside.select("gx", "gy", "piece", "event_id",
-                           *[F.sum(n).over(strictly_before).alias(f"w_{n}") for n in numbers])
+    within = inside.select("gx", "gy", "piece", "event_id", *[F.sum(n).over(so_far).alias(f"w_{n}") for n in numbers])
     total = {n: F.coalesce(f"c_{n}", F.lit(0)) + F.coalesce(f"w_{n}", F.lit(0)) for n in numbers}
     return within.filter(F.col("event_id").isNotNull()).join(carried, ["gx", "gy", "piece"], "left").select(
         "event_id",
@@ -142,30 +138,38 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
 
 def _event_steps(near: DataFrame, span: int) -> DataFrame:
     """+1 at each placement and -1 a lookback later."""
-    one = F.lit(1).cast("long")
-    return _steps(near, "events", (F.col("at"), one), (F.col("at") + span, -one))
-
-
-def _presence_steps(near: DataFrame, member: str, span: int, number: str) -> DataFrame:
-    """+1 where a member comes into view in a cell, -1 where it leaves; NULL is no member."""
-    slots = activity_slots(near.filter(F.col(member).isNotNull()), ["gx", "gy", member], span / MICROS).select(
-        "gx", "gy", member, micros("first_ts").alias("first"), micros("last_ts").alias("last"))
-    order = Window.partitionBy("gx", "gy", member).orderBy("first")
-    runs = slots.select(
-        "gx", "gy", "first", "last",
-        F.lag("last").over(order).alias("previous"), F.lead("first").over(order).alias("following"),
+    zero = F.lit(0).cast("long")
+    return _changes(near, (F.col("at"), F.lit(1)), (F.col("at") + span, F.lit(-1))).select(
+        "gx", "gy", "at", F.col("step").alias("events"), zero.alias("users"), zero.alias("colors"))
+
+
+def _presence_steps(near: DataFrame, span: int) -> DataFrame:
+    """+1 where a user or colour comes into view in a cell, -1 where it leaves; NULL is neither."""
+    no_user, no_color = F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("pc")
+    members = near.select("gx", "gy", "ts", F.inline(F.array(
+        F.struct(F.col("user_id"), no_color), F.struct(no_user, F.col("pc")),
+    ))).filter(F.col("user_id").isNotNull() | F.col("pc").isNotNull())
+    member = ["gx", "gy", "user_id", "pc"]
+    order = Window.partitionBy(*member).orderBy("first")
+    runs = activity_slots(members, member, span / MICROS).select(
+        *member, micros("first_ts").alias("first"), micros("last_ts").alias("last"),
+    ).select(
+        "*", F.lag("last").over(order).alias("previous"), F.lead("first").over(order).alias("following"),
+    )
+    comes = F.when(F.col("first") - F.col("previous") <= span, 0).otherwise(1)
+    leaves = F.when(F.col("following") - F.col("last") <= span, 0).otherwise(-1)
+    zero = F.lit(0).cast("long")
+    return _changes(runs, (F.col("first"), comes), (F.col("last") + span, leaves)).filter("step <> 0").select(
+        "gx", "gy", "at", zero.alias("events"),
+        F.when(F.col("user_id").isNotNull(), F.col("step")).otherwise(zero).alias("users"),
+        F.when(F.col("pc").isNotNull(), F.col("step")).otherwise(zero).alias("colors"),
     )
-    comes = F.when(F.col("first") - F.col("previous") <= span, 0).otherwise(1).cast("long")
-    leaves = F.when(F.col("following") - F.col("last") <= span, 0).otherwise(-1).cast("long")
-    return _steps(runs, number, (F.col("first"), comes), (F.col("last") + span, leaves))
 
 
-def _steps(df: DataFrame, number: str, *changes: tuple[Column, Column]) -> DataFrame:
-    """One row per change of `number`: where it happens and by how much."""
-    zero = F.lit(0).cast("long")
-    both = F.array(*[F.struct(at.alias("at"), step.alias("step")) for at, step in changes])
-    return df.select("gx", "gy", F.inline(both)).filter("step <> 0").select(
-        "gx", "gy", "at", *[(F.col("step") if n == number else zero).alias(n) for n in ("events", "users", "colors")])
+def _changes(df: DataFrame, *changes: tuple[Column, Column]) -> DataFrame:
+    """The rows of `df` once for each change, with where it happens (`at`) and by how much (`step`)."""
+    both = F.array(*[F.struct(at.alias("at"), step.cast("long").alias("step")) for at, step in changes])
+    return df.select(*[c for c in df.columns if c != "at"], F.inline(both))
 
 
 def survival_features(full: DataFrame, sample: DataFrame, minutes: float = 30, size: int = 20,

@@ -20,21 +20,27 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else has built."""
+def configure(spark: SparkSession, shuffled_bytes: int | None = None) -> SparkSession:
+    """Apply the runtime settings to a session somebody else has built.
+
+    `shuffled_bytes` is the size of the largest shuffle to expect; when given,
+    the number of shuffle partitions is set from it.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if shuffled_bytes is not None:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions(shuffled_bytes)))
     return spark
 
 
-def shuffle_partitions(input_bytes: int, partition_bytes: int = 256 * MIB,
+def shuffle_partitions(shuffled_bytes: int, partition_bytes: int = 256 * MIB,
                        at_least: int = 8, at_most: int = 40_000) -> int:
-    """Shuffle partitions for `input_bytes` of shuffled data.
+    """Shuffle partitions for `shuffled_bytes` of data.
 
     Aims at partitions that sort in memory; adaptive execution merges the small
     ones, so the upper side is the safe side to err on.
     """
-    wanted = -(-input_bytes // partition_bytes)
+    wanted = -(-shuffled_bytes // partition_bytes)
     return max(at_least, min(at_most, wanted))
 
 

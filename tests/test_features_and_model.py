@@ -51,6 +51,13 @@ def test_lookback_edges(place):
     assert got == {1: (0, 0, 0), 2: (1, 1, 1), 3: (1, 1, 1), 4: (0, 0, 0)}
 
 
+def test_steps_are_shuffled_once(skewed):
+    local = features.neighborhood_activity(skewed, skewed)
+    local.collect()
+    plan = local._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert any("ReusedExchange" in line and "events" in line for line in plan.splitlines())
+
+
 def test_no_pairs_are_formed(skewed):
     plan = features.neighborhood_activity(skewed, skewed)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and "Join Cross" not in plan
