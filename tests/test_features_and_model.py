@@ -55,7 +55,7 @@ def test_steps_are_shuffled_once(skewed):
     local = features.neighborhood_activity(skewed, skewed)
     local.collect()
     plan = local._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert any("ReusedExchange" in line and "events" in line for line in plan.splitlines())
+    assert any("ReusedExchange [gx" in line and "sum#" in line for line in plan.splitlines())
 
 
 def test_no_pairs_are_formed(skewed):
