@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from muralog.llm import token_output
+from muralog.llm import packing, simhash_dedup, token_output
+from muralog.llm.ship import ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,8 +22,19 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_digests(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
 
 
+def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digests(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, window=4096)
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_mixture_packing": op2_mixture_packing,
+    "op8_simhash_dedup": op8_simhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ the ids by rank.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,11 +50,12 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u4")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None = None) -> DataFrame:
     """Whole texts as little-endian id runs of two bytes, or four for larger vocabularies, staged once.
 
-    Columns: `keep`, `part` (the writing task), `doc_id`, `n_tokens`, `ids`. A NULL text is empty and
-    still has its end id.
+    Columns: `doc_id`, `n_tokens`, `ids`; with `queue`, the name of a string column, also that column,
+    `part` (the writing task) and `before` (tokens of the same queue that the task wrote earlier). A
+    NULL text is empty and still has its end id.
     """
     from tokenizers import Tokenizer
 
@@ -61,20 +63,24 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, keep: tuple[str, .
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId()
+        written: dict[str | None, int] = defaultdict(int)
         for batch in batches:
             for rows in slices(batch):
                 ids, ends = encoder.encode(rows.column("text"))
-                yield pa.RecordBatch.from_arrays([
-                    *[rows.column(c) for c in ("doc_id", *keep)],
-                    pa.array(np.full(len(ends), part, np.int32)),
-                    pa.array(np.diff(ends, prepend=0)),
-                    runs_of_bytes(ids.astype(f"<u{width}"), ends),
-                ], names)
-
-    names = ["doc_id", *keep, "part", "n_tokens", "ids"]
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
-    kept = "".join(f"`{c}` {columns.schema[c].dataType.simpleString()}, " for c in keep)
-    return stage(columns.mapInArrow(run, f"doc_id long, {kept}part int, n_tokens long, ids binary"), "tokens")
+                n_tokens = np.diff(ends, prepend=0)
+                out = [rows.column("doc_id"), pa.array(n_tokens), runs_of_bytes(ids.astype(f"<u{width}"), ends)]
+                if queue:
+                    before = []
+                    for name, n in zip(rows.column(queue).to_pylist(), n_tokens.tolist()):
+                        before.append(written[name])
+                        written[name] += n
+                    out += [rows.column(queue), pa.array(np.full(len(ends), part, np.int32)), pa.array(before, pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([queue] if queue else []), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, n_tokens long, ids binary" + (f", {queue} string, part int, before long" if queue else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return stage(columns.mapInArrow(run, schema), "tokens")
 
 
 def runs_of_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
