@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muralog.llm import packing, simhash_dedup, token_output
+from muralog.llm import decontamination, importance, language_id, packing, simhash_dedup, token_output
 from muralog.llm.ship import ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,15 +26,30 @@ def op2_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(table(spark, sf_dir, "documents"), TOKENIZER, END_ID, window=4096)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
+    "op3_language_id": op3_language_id,
+    "op6_decontamination": op6_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_importance_resampling": op9_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {}
