@@ -26,6 +26,8 @@ from muralog.sources.scratch import sized
 TURN = 64
 # The totals of the queues are one row each at the driver; a mixture has few of them.
 MOST_QUEUES = 10_000
+# Documents whose pieces are made in one go, which bounds a worker's memory.
+ROWS_AT_ONCE = 500
 
 PIECES = ("doc_id long, start long, length long, doc_tokens long, source string, sequence_id long, offset long, "
           "pad_to long, ids binary")
@@ -120,9 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(totals, wanted, window, turn)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             found = []
             doc_ids, sources = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
             lengths, begins = batch.column("n_tokens").to_pylist(), batch.column("begin").to_pylist()
