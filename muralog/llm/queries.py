@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muralog.llm import decontamination, importance, language_id, packing, simhash_dedup, token_output
+from muralog.llm import decontamination, importance, language_id, packing, quality_rules, simhash_dedup, token_output
 from muralog.llm.ship import ship
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
     "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_importance_resampling": op9_importance_resampling,
