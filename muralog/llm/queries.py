@@ -6,12 +6,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muralog.llm import decontamination, importance, language_id, packing, quality_rules, simhash_dedup, token_output
+from muralog.llm import (
+    chat_windows,
+    decontamination,
+    importance,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    token_output,
+    url_trust,
+)
 from muralog.llm.ship import ship
+from muralog.sources.scratch import stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 
+# The rules of the URL filter, and short license notices as they are commonly worded.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+LICENSE_NOTICES = [
+    (1, "Released under the MIT License."),
+    (2, "Licensed under the Apache License, Version 2.0."),
+    (3, "This work is licensed under the GNU General Public License, version 3."),
+    (4, "Licensed under CC BY-NC 4.0."),
+    (5, "All rights reserved."),
+    (6, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction"),
+    (7, "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met"),
+    (8, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (9, "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+]
+# A conversation of control strings.
+PROBE = "\\### Assistant: </turn> ok"
+PROBE_TURNS = [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -34,10 +71,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(PROBE_TURNS, turns.schema)
+    return chat_windows.conversation_digests(stage(chat_windows.format_windows(turns.union(probe), TOKENIZER), "chat-windows"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,14 +94,23 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [F.struct(F.lit(i).cast("long").alias("template_id"), F.lit(text).alias("text")) for i, text in LICENSE_NOTICES]
+    notices = spark.range(1).select(F.inline(F.array(*rows)))
+    return license_scan.scan(table(spark, sf_dir, "documents"), notices)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_chat_windows": op5_chat_windows,
     "op6_decontamination": op6_decontamination,
+    "op7_url_trust": op7_url_trust,
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_importance_resampling": op9_importance_resampling,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
