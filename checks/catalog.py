@@ -376,28 +376,105 @@ def long_lived_map(df):
 
 SETTINGS = survival.SurvivalSettings(
     n_bins=fx.N_BINS, n_total=fx.N_TOTAL, survive_minutes=fx.SURVIVE_MINUTES, grid=fx.GRID,
-    lookback_minutes=fx.LOOKBACK_MINUTES, num_trees=150, max_depth=8,
+    lookback_minutes=fx.LOOKBACK_MINUTES,
 )
 
 
-def _fitted(df):
-    data = survival.survival_data(df, SETTINGS)
-    return data, survival.fit(data, SETTINGS)
+_FITTED: dict[tuple[str, str], tuple] = {}
+
+
+def _fitted(spark, sf_dir):
+    """Data and forest, trained once per application and table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        data = survival.survival_data(fx.placements(spark, sf_dir), SETTINGS)
+        _FITTED[key] = data, survival.fit(data, SETTINGS)
+    return _FITTED[key]
+
+
+def fit_survival_model(spark, sf_dir):
+    """Rows and weight of each class, and what the fitted forest says of itself."""
+    data, fitted = _fitted(spark, sf_dir)
+    importance = model.model_importance(fitted, spark).agg(F.round(F.sum("importance"), 6).alias("total")).first()[0]
+    weighted = model.with_class_weight(data.train, LABEL)
+    return fx.comparable(weighted.groupBy(F.col(LABEL).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("class_weight").alias("weight")).withColumns({
+            "trees": F.lit(len(fitted.stages[-1].trees)).cast("long"), "total_importance": F.lit(float(importance))}))
+
+
+def score_survival(spark, sf_dir):
+    """The test part with what must hold for any forest."""
+    data, fitted = _fitted(spark, sf_dir)
+    prob = F.col("survival_prob")
+    return fx.comparable(model.score_survival(fitted, data.test).select(
+        "event_id", LABEL, prob.between(0.0, 1.0).alias("is_probability"),
+        ((prob > 0.5) == (F.col("prediction") == 1)).alias("prediction_follows")))
+
+
+def path_attribution(spark, sf_dir):
+    """Every feature of every row of the test part; contributions and base add up to the probability."""
+    data, fitted = _fitted(spark, sf_dir)
+    shares = stage(model.path_attribution(fitted, data.test), "attribution")
+    sums = shares.groupBy("event_id").agg((F.sum("contribution") + F.first("base_value")).alias("total"))
+    scored = model.score_survival(fitted, data.test).select("event_id", "survival_prob")
+    agrees = sums.join(scored, "event_id").select("event_id", (F.abs(F.col("total") - F.col("survival_prob")) < 1e-6).alias("adds_up"))
+    return fx.comparable(shares.select("event_id", "feature", "value").join(agrees, "event_id"))
+
+
+def survival_round_trip(spark, sf_dir):
+    """The study's tables, written to a path, read back and counted by label."""
+    path = scratch_path(spark, "survival-study")
+    survival.survival_data(fx.placements(spark, sf_dir), SETTINGS, path)
+    data = survival.read_survival_data(spark, path)
+    tables = [("train", data.train), ("test", data.test), ("features", data.features)]
+    parts = [t.select(F.lit(n).alias("part"), LABEL, "event_id") for n, t in tables]
+    return fx.comparable(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("part", F.col(LABEL).alias("label")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids")))
+
+
+def class_balance(spark, sf_dir):
+    data, _ = _fitted(spark, sf_dir)
+    return fx.comparable(survival.class_balance(data.train, LABEL))
+
+
+def appended_pixel_history(spark, sf_dir):
+    """History of every placement after the raw log was ingested in two halves, the second one appended."""
+    raw = fx.raw_log(spark, sf_dir).withColumn("odd", F.unix_micros("timestamp") % 2 == 1)
+    table = scratch_path(spark, "appended")
+    for odd, mode in ((False, "error"), (True, "append")):
+        write_placements(ingest_placements(raw.filter(F.col("odd") == odd).drop("odd")), table, mode)
+    history = features.pixel_history(read_placements(spark, table)).select("event_id", "prior_changes_at_pixel", "time_since_last_change_sec")
+    placed = read_placements(spark, table).select("event_id", "ts", "x", "y")
+    return fx.comparable(placed.join(history, "event_id").drop("event_id"))
+
+
+for _named in (fit_survival_model, score_survival, path_attribution, survival_round_trip, class_balance, appended_pixel_history):
+    QUERIES[_named.__name__] = _named
+
+
+# What the reports show besides
+
+@query
+def newcomers_per_minute(df):
+    return newcomers.newcomers_per_minute(df, fx.UNIT)
+
+
+@query
+def user_cadence(df):
+    return sessions.user_cadence(sessions.inter_placement_deltas(df, top_users(df)), 3600)
 
 
 @query
-def fit_survival_model(df):
-    _, fitted = _fitted(df)
-    return model.model_importance(fitted, df.sparkSession)
+def user_spread(df):
+    return diversity.user_spread(df, low_diversity_users(df))
 
 
 @query
-def score_survival(df):
-    data, fitted = _fitted(df)
-    return model.score_survival(fitted, data.test).select("event_id", LABEL, "survival_prob", "prediction")
+def cut_pixel_history(df):
+    """`pixel_history` with all but the quietest pixels cut into pieces."""
+    return features.pixel_history(df, target_rows=5).select("event_id", "prior_changes_at_pixel", "time_since_last_change_sec")
 
 
 @query
-def path_attribution(df):
-    data, fitted = _fitted(df)
-    return model.path_attribution(fitted, data.test, SETTINGS.attribution_rows, SETTINGS.seed)
+def newcomers_per_quarter(df):
+    return newcomers.spike_first_time_users(df, "2024-01-01 00:00:00", "quarter")

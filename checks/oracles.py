@@ -11,6 +11,8 @@ _F0, _F1 = (f"TIMESTAMP '{t}'" for t in fx.FIRST_WINDOW)
 _SPIKE = f"TIMESTAMP '{fx.SPIKE}'"
 _LABEL = f"y_survives_{fx.SURVIVE_MINUTES}m"
 _BACK = f"{fx.LOOKBACK_MINUTES}m"
+_FEATURES = ["minutes_since_start", "prior_changes_at_pixel", "time_since_last_change_sec",
+             *[f"local_{c}_{_BACK}" for c in ("event_count", "unique_users", "unique_colors")]]
 
 # Named steps; a query lists the ones it starts from.
 STEPS = {
@@ -92,6 +94,9 @@ STEPS = {
                local_event_count AS local_event_count_{_BACK}, local_unique_users AS local_unique_users_{_BACK},
                local_unique_colors AS local_unique_colors_{_BACK}
         FROM labeled JOIN local USING (event_id)"""),
+    "folds": (["labeled", "sampled"], f"""
+        SELECT event_id, {_LABEL}, CASE WHEN ntile(5) OVER (ORDER BY ts, event_id) <= 4 THEN 'train' ELSE 'test' END AS part
+        FROM labeled WHERE event_id IN (SELECT event_id FROM sampled)"""),
     "guessed": (["labeled"], f"""
         SELECT *, {_LABEL} AS label, CASE WHEN prior_changes_at_pixel <= 3 THEN 1 ELSE 0 END AS guess FROM labeled"""),
     "by_class": (["guessed"], """
@@ -288,4 +293,40 @@ ORACLES = {
     "top_cohort_maps": _sql(_grid("extreme_xy", 80, "user_id"), "extreme_xy"),
     "short_lived_map": _sql(_grid("short_xy", 100), "short_xy"),
     "long_lived_map": _sql(_grid("long_xy", 100), "long_xy"),
+    "fit_survival_model": _sql(f"""
+        SELECT {_LABEL} AS label, count(*) AS n, round((SELECT count(*) FROM folds WHERE part = 'train') / 2.0, 6) AS weight,
+               CAST(150 AS BIGINT) AS trees, CAST(1.0 AS DOUBLE) AS total_importance
+        FROM folds WHERE part = 'train' GROUP BY 1""", "folds"),
+    "score_survival": _sql(f"""
+        SELECT event_id, {_LABEL}, true AS is_probability, true AS prediction_follows FROM folds WHERE part = 'test'""", "folds"),
+    "path_attribution": _sql(f"""
+        , test AS (SELECT * FROM features JOIN folds USING (event_id) WHERE part = 'test')
+        {" UNION ALL ".join(f"SELECT event_id, '{c}' AS feature, round({c}::DOUBLE, 6) AS value, true AS adds_up FROM test" for c in _FEATURES)}""",
+        "features", "folds"),
+    "survival_round_trip": _sql(f"""
+        SELECT part, {_LABEL} AS label, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM (
+            SELECT part, {_LABEL}, event_id FROM folds UNION ALL SELECT 'features', {_LABEL}, event_id FROM folds)
+        GROUP BY 1, 2""", "folds"),
+    "class_balance": _sql(f"""
+        SELECT {_LABEL} AS label, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM folds WHERE part = 'train'), 6) AS share
+        FROM folds WHERE part = 'train' GROUP BY 1""", "folds"),
+    "appended_pixel_history": _sql("""
+        SELECT ts, x, y, prior_changes_at_pixel, round(time_since_last_change_sec, 6) AS time_since_last_change_sec
+        FROM timeline""", "timeline"),
+    "cut_pixel_history": _sql("""
+        SELECT event_id, prior_changes_at_pixel, round(time_since_last_change_sec, 6) AS time_since_last_change_sec
+        FROM timeline""", "timeline"),
+    "newcomers_per_minute": _sql("SELECT * FROM new_per_unit", "new_per_unit"),
+    "newcomers_per_quarter": _sql("""
+        SELECT count(*) AS first_time_users FROM bounds WHERE date_trunc('quarter', first_ts) = TIMESTAMP '2024-01-01'""", "bounds"),
+    "user_cadence": _sql("""
+        , counts AS (SELECT user_id, CAST(floor(delta_seconds / 3600) AS BIGINT) AS i, count(*) AS n
+                     FROM deltas WHERE delta_seconds IS NOT NULL GROUP BY 1, 2),
+          ranked AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS deltas,
+                            row_number() OVER (PARTITION BY user_id ORDER BY n DESC, i) AS r FROM counts)
+        SELECT user_id, CAST(deltas AS BIGINT) AS deltas, CAST(i * 3600 AS DOUBLE) AS common_interval_sec,
+               round(n * 1.0 / deltas, 6) AS common_share FROM ranked WHERE r = 1""", "deltas"),
+    "user_spread": _sql("""
+        SELECT user_id, count(*) AS placements, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y,
+               round(sqrt(var_pop(x) + var_pop(y)), 6) AS spread FROM low_xy GROUP BY user_id""", "low_xy"),
 }

@@ -61,7 +61,13 @@ def in_unit(ts: Column, unit: str, moment) -> Column:
     """
     start = instant(moment)
     aligned = F.date_trunc(unit, start) == start
-    return within(ts, start, start + F.expr(f"INTERVAL 1 {unit}")) & aligned
+    return within(ts, start, unit_end(unit, start)) & aligned
+
+
+def unit_end(unit: str, start) -> Column:
+    """The instant one unit after `start`; takes every unit that `date_trunc` takes."""
+    length = "3 MONTH" if unit.lower() == "quarter" else f"1 {unit}"
+    return instant(start) + F.expr(f"INTERVAL {length}")
 
 
 def slot_start(ts: Column | str, width_micros: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralog.functions.clock import in_unit, instant
+from muralog.sources.placements import between, during
 
 
 def activity_per_minute(df: DataFrame, unit: str = "minute") -> DataFrame:
@@ -20,13 +20,13 @@ def top_minutes(df: DataFrame, n: int = 10, unit: str = "minute") -> DataFrame:
 
 def activity_in_range(df: DataFrame, low, high, unit: str = "minute") -> DataFrame:
     """As `activity_per_minute`, for instants from `low` to `high` with both ends in."""
-    return activity_per_minute(df.filter(F.col("ts").between(instant(low), instant(high))), unit)
+    return activity_per_minute(between(df, low, high), unit)
 
 
 def minute_heatmap(df: DataFrame, minute, unit: str = "minute") -> DataFrame:
     """`x, y, edits` within one unit of time."""
     return (
-        df.filter(in_unit(F.col("ts"), unit, minute))
+        during(df, unit, minute)
         .groupBy("x", "y").agg(F.count(F.lit(1)).alias("edits"))
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muralog.functions.bins import left_closed_bin, right_closed_bin
+from muralog.sources.scratch import stage
 
 
 def extent(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -47,20 +48,26 @@ def histogram(df: DataFrame, column: str, bins: int, log10: bool = False) -> Dat
 
 
 def bin2d(df: DataFrame, bins: int, facet: str | None = None) -> DataFrame:
-    """`[facet,] x_bin, y_bin, n`: counts on a grid over the observed range, shared by all facets."""
+    """`[facet,] x_bin, y_bin, n`: counts on a grid over the observed range, shared by all facets.
+
+    Rows are counted per pixel first; range and bins are then looked up on that table, which is no
+    larger than the canvas (per facet).
+    """
     group = [facet] if facet else []
+    pixels = stage(df.groupBy(*group, "x", "y").agg(F.count(F.lit(1)).alias("n")), "pixel-counts")
     return (
-        df.groupBy(*group, *_grid(df, bins, left_closed_bin))
-        .agg(F.count(F.lit(1)).alias("n"))
+        pixels.groupBy(*group, *_grid(pixels, bins, left_closed_bin))
+        .agg(F.sum("n").alias("n"))
         .orderBy(*group, "x_bin", "y_bin")
     )
 
 
 def binned_mean_map(df: DataFrame, value: str = "survival_prob", bins: int = 120) -> DataFrame:
-    """`x_bin, y_bin, avg_<value>` on a grid of right-closed bins over the observed range."""
+    """`x_bin, y_bin, avg_<value>` on a grid of right-closed bins over the observed range, of all rows."""
+    pixels = stage(df.groupBy("x", "y").agg(F.sum(value).alias("total"), F.count(value).alias("n")), "pixel-sums")
     return (
-        df.groupBy(*_grid(df, bins, right_closed_bin))
-        .agg(F.avg(value).alias(f"avg_{value}"))
+        pixels.groupBy(*_grid(pixels, bins, right_closed_bin))
+        .agg(F.try_divide(F.sum("total"), F.sum("n")).cast("double").alias(f"avg_{value}"))
         .orderBy("x_bin", "y_bin")
     )
 

@@ -11,6 +11,7 @@ def placements_of(df: DataFrame, users: DataFrame) -> DataFrame:
     """Rows of `df` by the users in `users`; an empty set gives no rows.
 
     A cohort grows with the data, so it is joined rather than listed in the query,
-    and its size is known before the placements are touched.
+    and its size is known before the placements are touched. Taking its distinct ids lets the
+    planner drop any order the users came in.
     """
-    return df.join(sized(users.select("user_id"), "cohort"), "user_id", "left_semi")
+    return df.join(sized(users.select("user_id").distinct(), "cohort"), "user_id", "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muralog.sources.scratch import stage
+
 
 def classification_report(pred: DataFrame, label: str, prediction: str = "prediction") -> DataFrame:
     """`class, precision, recall, f1_score, support`: one row per class, then accuracy and both means.
@@ -42,13 +44,20 @@ def classification_report(pred: DataFrame, label: str, prediction: str = "predic
 
 def confusion_matrix(pred: DataFrame, label: str, prediction: str = "prediction",
                      classes: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """`label, predicted_<class>...`: counts, with a row for every class even if it never occurs."""
-    found = _pairs(pred, label, prediction)
-    session = pred.sparkSession
-    rows = session.sql("SELECT * FROM VALUES " + ", ".join(f"({int(c)})" for c in classes) + " AS classes(label)")
+    """`label, predicted_<class>...`: counts, with a row and a column for every class that occurs.
+
+    `classes` are listed even if they never occur. Rows without a label or guess are a class of
+    their own, `NULL` and `predicted_null`, where there are any; so the cells always add up to
+    the rows.
+    """
+    found = stage(_pairs(pred, label, prediction), "class-pairs")  # one row per pair of classes
+    seen = {r[0] for r in found.select(F.explode(F.array("label", "guess"))).distinct().collect()}
+    listed = [*sorted({*classes, *seen} - {None}), *([None] if None in seen else [])]
+    rows = found.sparkSession.createDataFrame([(c,) for c in listed], "class int")
+    name = lambda c: "null" if c is None else c
     return (
-        F.broadcast(rows).join(found, "label", "left").groupBy("label")
-        .agg(*[F.coalesce(F.sum(F.when(F.col("guess") == c, F.col("n"))), F.lit(0)).alias(f"predicted_{c}") for c in classes])
+        F.broadcast(rows).join(found, F.col("class").eqNullSafe(F.col("label")), "left").groupBy(F.col("class").alias("label"))
+        .agg(*[F.coalesce(F.sum(F.when(F.col("guess").eqNullSafe(F.lit(c)), F.col("n"))), F.lit(0)).alias(f"predicted_{name(c)}") for c in listed])
         .orderBy("label")
     )
 

@@ -55,9 +55,9 @@ def survival_label(full: DataFrame, sample: DataFrame | None = None, minutes: fl
     )
 
 
-def pixel_history(full: DataFrame, sample: DataFrame | None = None) -> DataFrame:
+def pixel_history(full: DataFrame, sample: DataFrame | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Sampled rows with the changes made before them at the same pixel and the time since the last one."""
-    return pixel_timeline(full, sample).drop("next_ts")
+    return pixel_timeline(full, sample, target_rows).drop("next_ts")
 
 
 def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lookback_minutes: float = 10,
@@ -90,6 +90,7 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
         .withColumn("slot", slot)
         .join(broadcast_if_small(stage(seen, "sampled-slots")), ["gx", "gy", "slot"], "left_semi")
     )
+    near = stage(near, "near-placements")  # read for events and for presence
 
     # Sampled rows take part with steps of zero, so that their piece always has a sum.
     numbers = ["events", "users", "colors"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,11 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralog.operators.sampling import uniform_sample
-from muralog.sources.scratch import scratch_path, scratch_root
+from muralog.sources.scratch import scratch_path, scratch_root, stage
 
-# Nodes shipped to the executors at a time; a larger forest is walked in parts.
-NODES_PER_PART = 2_000_000
+# Nodes and rows that one task walks; a forest may have any number of such groups.
+NODES_PER_GROUP = 1_000_000
+ROWS_PER_BLOCK = 100_000
 
 
 def fit_survival_model(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 150,
@@ -80,39 +80,51 @@ def forest_nodes(model: PipelineModel, spark) -> DataFrame:
     )
 
 
-def path_attribution(model: PipelineModel, df: DataFrame, n: int | None = 1000, seed: int = 42) -> DataFrame:
-    """`event_id, feature, value, contribution, base_value` for n sampled rows, or for all with n=None.
+def path_attribution(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """`event_id, feature, value, contribution, base_value` for every row; sample first to look at fewer.
 
-    A row's path through a tree changes the class-1 share at every split; the
-    change is credited to the feature of that split. Averaged over the trees, the
-    contributions of a row and the base value add up to its predicted probability.
+    A row's path through a tree changes the class-1 share at every split; the change is credited to
+    the feature of that split. Averaged over the trees, the contributions of a row and the base value
+    add up to its predicted probability.
+
+    Trees are put into groups of bounded size and rows into blocks of bounded length; each task gets
+    one block and one group from the tables, and the shares are summed by row and feature. The nodes
+    never pass through the driver.
     """
     spark = df.sparkSession
-    names = model.stages[0].getInputCols()
-    rows = df if n is None else uniform_sample(df, n, seed)
-    rows = rows.select("event_id", *[F.col(c).cast("double").alias(c) for c in names])
+    names = list(model.stages[0].getInputCols())
+    nodes = stage(forest_nodes(model, spark), "forest-nodes")
+    groups, n_trees = tree_groups(nodes)
+    base = nodes.filter("node = 0").agg(F.avg("prob")).first()[0]
+
+    rows = stage(df.select("event_id", *[F.col(c).cast("double").alias(c) for c in names]), "attributed-rows")
+    blocks = max(1, -(-rows.count() // ROWS_PER_BLOCK))
+    every_group = F.explode(F.array(*[F.lit(g) for g in range(max(groups.values()) + 1)]))
+    placed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
+    placed = placed.select("_row", "event_id", *names, "_block", every_group.alias("_group"))
+    group_of = F.element_at(F.create_map(*[F.lit(v) for item in groups.items() for v in item]), F.col("tree"))
+    spread = nodes.withColumn("_group", group_of).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    shares = placed.groupBy("_block", "_group").cogroup(spread.groupBy("_block", "_group")).applyInPandas(
+        _walker(names, n_trees), "_row long, event_id long, feature string, value double, contribution double")
+    return shares.groupBy("_row", "event_id", "feature").agg(
+        F.first("value").alias("value"), F.sum("contribution").alias("contribution")
+    ).drop("_row").withColumn("base_value", F.lit(base))
 
-    nodes = forest_nodes(model, spark)
+
+def tree_groups(nodes: DataFrame) -> tuple[dict[int, int], int]:
+    """The group of each tree, and the number of trees. A tree above the bound is refused: limit its depth."""
     sizes = sorted((r["tree"], r["count"]) for r in nodes.groupBy("tree").count().collect())  # one row per tree
-    base = nodes.filter("node = 0").agg(F.avg("prob")).first()[0]
-    parts, held = [[]], 0
+    groups, group, held = {}, 0, 0
     for tree, size in sizes:
-        if parts[-1] and held + size > NODES_PER_PART:
-            parts, held = parts + [[]], 0
-        parts[-1].append(tree)
+        if size > NODES_PER_GROUP:
+            raise ValueError(f"tree {tree} has {size} nodes, more than {NODES_PER_GROUP}")
+        if held and held + size > NODES_PER_GROUP:
+            group, held = group + 1, 0
+        groups[tree] = group
         held += size
-
-    schema = "event_id long, feature string, value double, contribution double"
-    shares = None
-    for trees in parts:
-        table = nodes.filter(F.col("tree").isin(trees)).toPandas()
-        shipped = spark.sparkContext.broadcast(_tree_arrays(table))
-        share = rows.mapInPandas(_walker(shipped, list(names), len(sizes)), schema)
-        shares = share if shares is None else shares.unionByName(share)
-    if len(parts) > 1:
-        shares = shares.groupBy("event_id", "feature").agg(
-            F.first("value").alias("value"), F.sum("contribution").alias("contribution"))
-    return shares.withColumn("base_value", F.lit(base))
+    return groups, len(sizes)
 
 
 def _tree_arrays(table: pd.DataFrame) -> list[dict[str, np.ndarray]]:
@@ -123,27 +135,27 @@ def _tree_arrays(table: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def _walker(shipped, names: list[str], n_trees: int):
-    """Move all rows of a batch down one level of a tree at a time."""
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = batch[names].to_numpy(dtype="float64")
-            credit = np.zeros_like(values)
-            every = np.arange(len(batch))
-            for t in shipped.value:
-                at = np.zeros(len(batch), dtype="int64")
-                moving = every[t["left"][at] >= 0]
-                while len(moving):
-                    here, split = at[moving], t["feature"][at[moving]]
-                    goes_left = values[moving, split] <= t["threshold"][here]
-                    there = np.where(goes_left, t["left"][here], t["right"][here])
-                    credit[moving, split] += t["prob"][there] - t["prob"][here]
-                    at[moving] = there
-                    moving = moving[t["left"][there] >= 0]
-            yield pd.DataFrame({
-                "event_id": np.repeat(batch["event_id"].to_numpy(), len(names)),
-                "feature": np.tile(names, len(batch)),
-                "value": values.reshape(-1),
-                "contribution": credit.reshape(-1) / n_trees,
-            })
+def _walker(names: list[str], n_trees: int):
+    """Move all rows of a block down one level of a tree at a time."""
+    def walk(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        values = rows[names].to_numpy(dtype="float64")
+        credit = np.zeros_like(values)
+        every = np.arange(len(rows))
+        for t in _tree_arrays(nodes) if len(rows) else []:
+            at = np.zeros(len(rows), dtype="int64")
+            moving = every[t["left"][at] >= 0]
+            while len(moving):
+                here, split = at[moving], t["feature"][at[moving]]
+                goes_left = values[moving, split] <= t["threshold"][here]
+                there = np.where(goes_left, t["left"][here], t["right"][here])
+                credit[moving, split] += t["prob"][there] - t["prob"][here]
+                at[moving] = there
+                moving = moving[t["left"][there] >= 0]
+        return pd.DataFrame({
+            "_row": np.repeat(rows["_row"].to_numpy(), len(names)),
+            "event_id": np.repeat(rows["event_id"].to_numpy(), len(names)),
+            "feature": np.tile(names, len(rows)),
+            "value": values.reshape(-1),
+            "contribution": credit.reshape(-1) / n_trees,
+        })
     return walk

@@ -3,71 +3,76 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralog.functions.clock import micros
 from muralog.sources.scratch import broadcast_if_small, stage
 
-# A key with more rows than this is ordered in pieces.
+# A key with more rows than this is ordered in pieces of about half as many.
 TARGET_ROWS = 5_000_000
 
-# Pieces have equal width in time, not equal length; cutting finer than needed
-# keeps the busiest piece near the target.
-OVERSPLIT = 8
-
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
-    """Keys with more than `target_rows` rows: their first instant and the width of a piece.
+    """Keys with more than `target_rows` rows and their number `n`, NULL among them.
 
-    There are at most (rows / target_rows) of them. The counts are combined on the
-    map side, and only the keys and the time are read.
+    There are at most (rows / target_rows) of them. The counts are combined on the map side, and
+    only the keys are read.
     """
-    pieces = F.ceil(F.col("n") / F.lit(target_rows)) * F.lit(OVERSPLIT)
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi"))
-        .filter(F.col("n") > target_rows)
-        .select(*keys, F.col("lo").alias("_lo"),
-                F.ceil((F.col("hi") - F.col("lo") + 1) / pieces).alias("_width"))
-    )
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target_rows)
+
+
+def heavy_pieces(df: DataFrame, heavy: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
+    """The rows of heavy keys with `_piece`, consecutive runs in (key, ts, event_id) order.
+
+    The pieces come from a range partitioning of just these rows, so they are even in rows however
+    the rows lie in time: a burst is cut, and so is one instant. They are written as they are cut,
+    because the bounds are estimated anew on every run.
+    """
+    total = heavy.agg(F.sum("n")).first()[0]
+    hot = _matching(df, heavy, keys, "left_semi")
+    pieces = hot.repartitionByRange(max(2, -(-2 * total // target_rows)), *keys, "ts", "event_id")
+    return stage(pieces.withColumn("_piece", F.spark_partition_id()), "heavy-pieces")
 
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add `prev_ts`, `next_ts` and `earlier_rows` within the key, in (ts, event_id) order.
 
-    Rows of ordinary keys are ordered in one window. A key that is too long for
-    that is cut into time pieces: each piece is ordered on its own, and a summary
-    of the pieces (first instant, last instant, length) supplies what lies across
-    their edges. The rows are shuffled once in either case.
+    Rows of ordinary keys are ordered in one window. A key that is too long for that is cut into
+    pieces: each piece is ordered on its own, and a summary of the pieces (first instant, last
+    instant, length) supplies what lies across their edges.
     """
     heavy = stage(heavy_keys(df, keys, target_rows), "heavy-keys")
     if heavy.isEmpty():
         return _ordered(df, list(keys))
-
-    piece = F.when(F.col("_width").isNotNull(),
-                   F.expr("(unix_micros(ts) - _lo) div _width")).otherwise(F.lit(-1)).alias("_piece")
-    cut = df.join(broadcast_if_small(heavy), list(keys), "left").select(*df.columns, piece)
+    cut = heavy_pieces(df, heavy, keys, target_rows)
     parts = [*keys, "_piece"]
 
-    summary = (
-        cut.filter(F.col("_piece") >= 0).groupBy(*parts)
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
-    )
+    summary = cut.groupBy(*parts).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
     across = Window.partitionBy(*keys).orderBy("_piece")
-    edges = summary.select(
+    edges = stage(summary.select(
         *parts,
         F.lag("last_ts").over(across).alias("_before_ts"),
         F.lead("first_ts").over(across).alias("_after_ts"),
         F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before_rows"),
-    )
-    return _ordered(cut, parts).join(edges, parts, "left").select(
+    ), "piece-edges")
+    stitched = _matching(_ordered(cut, parts), edges, parts, "left").select(
         *df.columns,
         F.coalesce("prev_ts", "_before_ts").alias("prev_ts"),
         F.coalesce("next_ts", "_after_ts").alias("next_ts"),
         (F.col("earlier_rows") + F.coalesce("_before_rows", F.lit(0))).alias("earlier_rows"),
     )
+    return _ordered(_matching(df, heavy, keys, "left_anti"), list(keys)).unionByName(stitched)
+
+
+def _matching(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join with a small staged table on keys that may be NULL."""
+    named = small.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in small.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(broadcast_if_small(named), same, how)
 
 
 def _ordered(df: DataFrame, parts: list[str]) -> DataFrame:

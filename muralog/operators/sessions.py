@@ -80,3 +80,18 @@ def inter_placement_deltas(df: DataFrame, users: DataFrame | None = None, **spli
     return with_neighbours(events, ["user_id"], **split).select(
         "event_id", "user_id", "ts", seconds_between("prev_ts", "ts").alias("delta_seconds"),
     )
+
+
+def user_cadence(deltas: DataFrame, width_seconds: float = 1.0) -> DataFrame:
+    """`user_id, deltas, common_interval_sec, common_share`: how regular each user's pauses are.
+
+    Pauses are put into intervals of `width_seconds`; the commonest one of a user is given by its
+    start (of equally common ones the shortest), with the share of the user's pauses in it. Counted
+    per user and interval first, so a busy user shrinks before the second step.
+    """
+    interval = F.floor(F.col("delta_seconds") / F.lit(width_seconds)).alias("interval")
+    counts = deltas.filter(F.col("delta_seconds").isNotNull()).groupBy("user_id", interval).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("user_id").agg(
+        F.sum("n").alias("deltas"), F.max(F.struct("n", (-F.col("interval")).alias("back"))).alias("top")).select(
+        "user_id", "deltas", (-F.col("top.back") * F.lit(width_seconds)).cast("double").alias("common_interval_sec"),
+        (F.col("top.n") / F.col("deltas")).alias("common_share"))

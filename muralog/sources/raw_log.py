@@ -19,8 +19,9 @@ RAW_SCHEMA = T.StructType([
 def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Read the raw log with a given schema: no inference pass, and bad rows stop the job.
 
-    The header names the columns, so files whose columns are in another order
-    read correctly.
+    The columns may be in any order, which the header gives. All files of one call must have
+    the same header: Spark checks each against the first one's, and a file that differs stops
+    the job instead of being read with its columns swapped. Read such files on their own.
     """
     probe = spark.read.option("header", True).csv(path)
     order = {name: i for i, name in enumerate(probe.columns)}
@@ -31,7 +32,7 @@ def read_raw_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     schema = T.StructType([fields.get(c, T.StructField(c, T.StringType())) for c in probe.columns])
     return (
         spark.read.schema(schema)
-        .options(header=True, mode="FAILFAST")
+        .options(header=True, mode="FAILFAST", enforceSchema=False)
         .csv(path)
         .select(*[f.name for f in RAW_SCHEMA])
     )

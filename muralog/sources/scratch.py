@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`.
 
     Only where that is unset, and only on a single machine, a temporary folder
-    is used instead.
+    is used instead, and removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -30,6 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="muralog-")
+        atexit.register(shutil.rmtree, _own_roots[app], ignore_errors=True)
     return _own_roots[app]
 
 

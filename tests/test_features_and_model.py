@@ -127,17 +127,27 @@ def test_classes_weigh_the_same(study):
 def test_contributions_add_up_to_the_probability(study, monkeypatch):
     data, fitted = study
     scored = model.score_survival(fitted, data.test).select("event_id", "survival_prob")
-    shares = model.path_attribution(fitted, data.test, None)
+    shares = model.path_attribution(fitted, data.test)
     total = shares.groupBy("event_id").agg((F.sum("contribution") + F.first("base_value")).alias("p"))
     gap = scored.join(total, "event_id").agg(F.count("*"), F.max(F.abs(F.col("p") - F.col("survival_prob")))).first()
     assert gap[0] == 480 and gap[1] < 1e-9
-    monkeypatch.setattr(model, "NODES_PER_PART", 100)
-    parts = model.path_attribution(fitted, data.test, None)
+    biggest = model.forest_nodes(fitted, data.test.sparkSession).groupBy("tree").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(model, "NODES_PER_GROUP", biggest)
+    monkeypatch.setattr(model, "ROWS_PER_BLOCK", 100)
+    assert max(model.tree_groups(model.forest_nodes(fitted, data.test.sparkSession))[0].values()) > 1
+    parts = model.path_attribution(fitted, data.test)
     both = shares.join(parts.withColumnRenamed("contribution", "c"), ["event_id", "feature"])
     assert both.count() == 480 * 6
     assert both.agg(F.max(F.abs(F.col("c") - F.col("contribution")))).first()[0] < 1e-9
 
 
+def test_a_tree_above_the_bound_is_refused(study, monkeypatch):
+    data, fitted = study
+    monkeypatch.setattr(model, "NODES_PER_GROUP", 2)
+    with pytest.raises(ValueError):
+        model.path_attribution(fitted, data.test)
+
+
 def test_report_of_the_study(study):
     data, fitted = study
     report = survival.survival_report(data, fitted, SMALL)

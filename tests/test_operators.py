@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from muralog.operators import baseline, charts, churn, diversity, newcomers, sessions
-from muralog.operators.neighbours import with_neighbours
+from muralog.operators import activity, baseline, charts, churn, diversity, evaluation, newcomers, sampling, sessions
+from muralog.operators.neighbours import heavy_keys, heavy_pieces, with_neighbours
 from muralog.plans import reports
+from muralog.sources.placements import read_placements, write_placements
+from muralog.sources.scratch import stage
 
 
 def rows(df, *columns):
@@ -57,10 +59,48 @@ def test_neighbours_do_not_depend_on_how_a_key_is_cut(skewed, key, target):
     assert ours.exceptAll(plain).isEmpty()
 
 
-def test_a_cut_key_is_spread_over_tasks(skewed):
-    ours = with_neighbours(skewed, ["user_id"], target_rows=100)
-    plan = ours._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(user_id" in plan and "_piece" in plan
+@pytest.mark.parametrize("ts", ["burst", "instant"])
+@pytest.mark.parametrize("user", ["7", "NULL"])
+def test_no_piece_of_a_heavy_key_is_long(spark, ts, user):
+    """One key holds nearly all rows within seconds, or in one instant; it may be NULL."""
+    at = "timestamp_micros(1704067200000000 + if(id < 19990, id % 20000000, id * 1000000))" if ts == "burst" else "timestamp'2024-01-01'"
+    df = stage(spark.range(20_000).selectExpr("id as event_id", f"{at} as ts", f"if(id % 10 = 0, id, {user}) as user_id"), "burst")
+    heavy = stage(heavy_keys(df, ["user_id"], 1000), "heavy")
+    assert [tuple(r) for r in heavy.collect()] == [(None if user == "NULL" else 7, 18_000)]
+    pieces = heavy_pieces(df, heavy, ["user_id"], 1000)
+    sizes = [r["count"] for r in pieces.groupBy("_piece").count().collect()]
+    assert sum(sizes) == 18_000 and max(sizes) <= 2000
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    plain = df.select("*", F.lag("ts").over(w).alias("prev_ts"), F.lead("ts").over(w).alias("next_ts"),
+                      (F.row_number().over(w) - 1).cast("long").alias("earlier_rows"))
+    ours = with_neighbours(df, ["user_id"], target_rows=1000)
+    assert ours.count() == 20_000 and ours.exceptAll(plain).isEmpty()
+
+
+@pytest.fixture(scope="module")
+def by_day(events, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("by-day") / "placements")
+    write_placements(events, path)
+    return read_placements(events.sparkSession, path)
+
+
+@pytest.mark.parametrize("name, run", [
+    ("activity_in_range", lambda p: activity.activity_in_range(p, "2024-01-03 20:30:00", "2024-01-05 21:30:00")),
+    ("minute_heatmap", lambda p: activity.minute_heatmap(p, "2024-01-03 20:00:00", "hour")),
+    ("spike_first_time_users", lambda p: newcomers.spike_first_time_users(p, "2024-01-03 20:00:00", "hour")),
+    ("midpoint_slice", sampling.midpoint_slice),
+])
+def test_time_filters_prune_day_folders(by_day, name, run):
+    plan = run(by_day)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan parquet" in x and "event_date#" in x]
+    assert scans and all("PartitionFilters: [isnotnull(event_date" in x for x in scans)
+
+
+def test_other_classes_are_counted(spark):
+    pred = spark.sql("SELECT * FROM VALUES (0, 0), (2, 2), (1, 2), (NULL, 1) AS t(y, prediction)")
+    matrix = evaluation.confusion_matrix(pred, "y")
+    assert matrix.columns == ["label", "predicted_0", "predicted_1", "predicted_2", "predicted_null"]
+    assert {tuple(r) for r in matrix.collect()} == {(0, 1, 0, 0, 0), (1, 0, 0, 1, 0), (2, 0, 0, 1, 0), (None, 0, 1, 0, 0)}
 
 
 def test_unknown_colours_form_one_group(place):
@@ -106,11 +146,11 @@ def test_empty_cohort_gives_no_placements(place):
     assert charts.bin2d(newcomers.lifespan_cohort_placements(p, spans, max_minutes=5), 100).count() == 0
 
 
-def test_spike_users_are_found_the_same_way_when_they_are_too_many_to_ship(events, monkeypatch):
-    few = newcomers.spike_lifespans(events, "2024-01-01 00:00:00", "hour").collect()
-    monkeypatch.setattr(newcomers, "BROADCAST_ROWS", 0)
-    assert newcomers.spike_lifespans(events, "2024-01-01 00:00:00", "hour").collect() == few
-    assert len(few) == 19
+def test_spike_users_are_the_same_from_shared_bounds(events):
+    spike = ("2024-01-01 00:00:00", "hour")
+    found = newcomers.spike_lifespans(events, *spike).collect()
+    assert newcomers.spike_lifespans(events, *spike, newcomers.user_bounds(events)).collect() == found
+    assert len(found) == 19
 
 
 def test_summary_of_an_even_baseline_has_no_score(place):

@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from checks.catalog import QUERIES
 from checks.compare import difference, oracle_connection
-
-ROWS_ONLY = {"fit_survival_model", "score_survival", "path_attribution"}
+from checks.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,12 +15,12 @@ def con(sf_dir):
     return oracle_connection(sf_dir)
 
 
-def test_every_query_has_sql_unless_it_trains_a_model():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert difference(spark, con, name, sf_dir) is None
 

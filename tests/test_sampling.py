@@ -38,12 +38,24 @@ def test_uniform_sample_is_the_lowest_keys(skewed, n):
     assert len(want) == min(n, 3000)
 
 
-def test_a_misjudged_margin_falls_back_to_ranking_all(skewed, monkeypatch):
+def test_a_misjudged_margin_is_widened(skewed, monkeypatch):
     want = ids(sampling.uniform_sample(skewed, 500, 9))
-    monkeypatch.setattr(sampling.math, "sqrt", lambda n: -n / 10.0)  # makes the kept share far too small
+    monkeypatch.setattr(sampling, "_margin", lambda n: 0.5)
     assert ids(sampling.uniform_sample(skewed, 500, 9)) == want
 
 
+def test_ids_that_cannot_be_drawn_by_are_refused(skewed, place):
+    with pytest.raises(ValueError):
+        sampling.uniform_sample(place([(None, "2024-01-01 00:00:00", 1, "a", 0, 0)] * 3), 1)
+    with pytest.raises(ValueError):
+        sampling.uniform_sample(skewed.sparkSession.range(2_000_000).selectExpr("7L as event_id"), 10)
+
+
+def test_repeated_ids_at_the_cut_are_refused(place):
+    with pytest.raises(ValueError):
+        sampling.temporal_split(place([(i % 3, "2024-01-01 00:00:00", 1, "a", 0, 0) for i in range(100)]))
+
+
 def test_sample_does_not_depend_on_partitioning(events):
     a = ids(sampling.stratified_time_sample(events, 24, 2400))
     b = ids(sampling.stratified_time_sample(events.repartition(13), 24, 2400))
@@ -62,9 +74,9 @@ def test_earlier_folds_are_longer(place, rows, train):
 def test_cut_is_found_in_steps_and_through_ties(skewed):
     ordered = [(r[0], r[1]) for r in skewed.select(F.unix_micros("ts"), "event_id").orderBy("ts", "event_id").collect()]
     for position in (1, 2, 999, 1500, 2400, 3000):
-        assert sampling.key_at(skewed, position, buckets=7, enough=5) == ordered[position - 1]
+        assert sampling.key_at(skewed, position, 3000, buckets=7, enough=5) == ordered[position - 1]
     one_instant = skewed.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
-    assert sampling.key_at(one_instant, 1234, buckets=7, enough=5)[1] == 1233
+    assert sampling.key_at(one_instant, 1234, 3000, buckets=7, enough=5)[1] == 1233
 
 
 def test_split_is_a_filter(events):

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import pytest
+
 from muralog.session import MIB, configure, shuffle_partitions
 from muralog.sources.scratch import broadcast_if_small, scratch_root, stage
 
@@ -19,8 +23,14 @@ def test_settings_are_applied(spark):
 
 
 def test_scratch_folder_is_the_one_of_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    assert scratch_root(spark) == (named.rstrip("/") if named else scratch_root(spark))
+    def session(named, master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: named if name == "spark.checkpoint.dir" else default),
+                               sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert scratch_root(session("hdfs://shared/tmp/", "yarn")) == "hdfs://shared/tmp"
+    with pytest.raises(RuntimeError):
+        scratch_root(session(None, "yarn"))
+    assert scratch_root(session(None, "local[2]")) == scratch_root(session(None, "local[2]"))
 
 
 def test_only_counted_small_tables_are_marked_for_broadcast(spark):

@@ -63,6 +63,37 @@ def test_placement_table_round_trip_and_pruning(spark, events, tmp_path):
     assert {f.split(".")[-2] for f in back.inputFiles()} == {"zstd"}
 
 
+def test_a_file_with_another_header_stops_the_job(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.csv").write_text(HEADER + '2022-04-04 00:00:01,u,#FFFFFF,"1,2"\n')
+    (folder / "b.csv").write_text('timestamp,pixel_color,user_id,coordinate\n2022-04-04 00:00:02,#000000,v,"3,4"\n')
+    with pytest.raises(Exception, match="(?i)header"):
+        ingest_placements(read_raw_log(spark, str(folder))).collect()
+
+
+def test_appended_rows_get_new_ids(spark, events, tmp_path):
+    path = str(tmp_path / "log")
+    half = events.filter("x < 20").withColumn("event_id", F.monotonically_increasing_id())
+    write_placements(half, path, "append")  # no table yet
+    write_placements(half, path, "append")
+    ids = read_placements(spark, path).select("event_id")
+    assert ids.count() == ids.distinct().count() == 2 * half.count()
+
+
+def test_ingestion_runs_its_input_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    source = spark.range(100, numPartitions=2).selectExpr("id as event_id", "timestamp_seconds(id) as ts")
+    write_placements(source.mapInArrow(count, source.schema), str(tmp_path / "p"))
+    assert seen.value == 100
+
+
 def test_derived_table_is_zstd(spark, events, tmp_path):
     path = str(tmp_path / "derived")
     write_table(events.select("x", "y"), path)
