@@ -1,0 +1,54 @@
+"""The pipeline's stages on a small corpus, and the queries on the smallest tables."""
+
+from __future__ import annotations
+
+import pytest
+from texts import words
+
+import corpus_pipeline
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, docs_of, tmp_path_factory):
+    """Clean texts, junk, toxic texts, near copies and benchmark passages, with labels and a benchmark."""
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    bench = [(i, words(900 + i, 30, 5000)) for i in range(5)]
+    rows = [(i, words(i, 150, 5000)) for i in range(200)]
+    rows += [(300 + i, words(300 + i, 150, 5000) + " ### ***" * 60) for i in range(30)]
+    rows += [(400 + i, words(400 + i, 120, 5000) + " vile nasty horrid " + words(i, 20, 5000)) for i in range(60)]
+    rows += [(500 + i, words(i, 150, 5000)) for i in range(20)]
+    rows += [(600 + i, f"{words(600 + i, 70, 5000)} {bench[i][1]} {words(700 + i, 50, 5000)}") for i in range(5)]
+    rows += [(700, None), (701, "short")]
+    docs_of(rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(150)] + [(400 + i, 1, 1) for i in range(40)] + [(300 + i, 0, 0) for i in range(20)],
+                          "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder
+
+
+def test_stages(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    kept = []
+    for i, (_, function) in enumerate(corpus_pipeline.STAGES):
+        out = function(spark, docs, corpus)
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs, columns = spark.read.parquet(f"{tmp_path}/{i}"), docs.columns
+        if i < 4:
+            assert docs.columns == columns
+            kept.append({r.doc_id for r in docs.select("doc_id").collect()})
+    clean = set(range(200))
+    assert clean <= kept[0] and not kept[0] & {*range(300, 330), 700, 701}
+    assert len(clean & kept[1]) >= 195 and len(kept[1] & set(range(400, 460))) <= 3
+    copies = {i for i in range(20) if i in kept[1]}
+    assert copies <= kept[2] and not kept[2] & {500 + i for i in copies}
+    assert kept[3] == kept[2] - set(range(600, 605))
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == kept[3]
+    again = corpus_pipeline.run(spark, corpus)
+    assert {r.doc_id for r in again.collect()} == kept[3]
+
+
+def test_every_query_is_registered():
+    import __spark_entry__
+
+    names = __spark_entry__.queries()
+    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
