@@ -12,6 +12,7 @@ from muralog.llm import (
     importance,
     language_id,
     license_scan,
+    oracles,
     packing,
     quality_rules,
     simhash_dedup,
@@ -113,4 +114,9 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+# The others depend on a tokenizer, on XXH64 or on hashed models; tests/llm compares them with plain versions.
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": oracles.quality_sql(),
+    "op7_url_trust": oracles.url_sql(URL_RULES),
+    "op10_license_scan": oracles.license_sql(LICENSE_NOTICES),
+}
