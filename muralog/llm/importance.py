@@ -49,17 +49,18 @@ def bucket_counts(docs: DataFrame) -> DataFrame:
     """`bucket`, `raw`, `target`: in how many texts, and wanted texts, each bucket occurs. Column `wanted` tells them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)  # of one task's rows
         for batch in batches:
             for rows in slices(batch, limit=1 << 21):
                 row, bucket = features(rows.column("text"))
-                raw += np.bincount(bucket, minlength=BUCKETS)
                 wanted = np.asarray(rows.column("wanted"))
-                target += np.bincount(bucket[wanted[row]], minlength=BUCKETS)
+                for counts, found in ((raw, bucket), (target, bucket[wanted[row]])):
+                    met, n = np.unique(found, return_counts=True)
+                    counts[met] += n.astype(np.int32)
         met = np.flatnonzero(raw)
         for i in range(0, len(met), 1 << 16):
             at = met[i:i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at].astype(np.int64)), pa.array(target[at].astype(np.int64))], ["bucket", "raw", "target"])
 
     return (docs.select("text", "wanted").mapInArrow(run, "bucket long, raw long, target long")
             .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))

@@ -16,7 +16,7 @@ SLICE_BYTES = 8 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 # A memo that has met more distinct words than this starts anew; results do not depend on it.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
