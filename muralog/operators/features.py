@@ -90,7 +90,8 @@ def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lo
         .withColumn("slot", slot)
         .join(broadcast_if_small(stage(seen, "sampled-slots")), ["gx", "gy", "slot"], "left_semi")
     )
-    near = stage(near, "near-placements")  # read for events and for presence
+    # Read for events and for presence. Said once that cells are not NULL, both reads of the steps stay alike.
+    near = stage(near, "near-placements").filter("gx IS NOT NULL AND gy IS NOT NULL")
 
     # Sampled rows take part with steps of zero, so that their piece always has a sum.
     numbers = ["events", "users", "colors"]
