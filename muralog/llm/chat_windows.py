@@ -127,7 +127,8 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, histo
     that does not fit the budget is a window's only new turn and is never cut. Repeated rows are turns
     of their own. An empty table gives no windows.
     """
-    written = stage(numbered(counted_turns(turns, tokenizer)), "turns")
+    counted = stage(counted_turns(turns, tokenizer), "counted-turns")  # tokenized once, read twice
+    written = stage(numbered(counted), "turns")
     is_system = (F.col("place") == 0) & (F.col("role") == "system")
     systems = stage(written.where(is_system).select(
         F.col("conv_id").alias("_sys_conv"), F.col("n_tokens").alias("system_tokens"), F.col("piece").alias("system_piece")), "system-turns")
