@@ -9,6 +9,9 @@ A fingerprint has `BLOCKS` blocks. If two of them differ in at most `RADIUS` bit
 most `RADIUS // BLOCKS` bits of some block, so looking up each block's value among the values near an
 item's block finds every window within the radius. What is found is checked on the words themselves:
 the sum of the smaller over the sum of the larger counts of each five-word shingle in item and passage.
+A weighted similarity of 0.8 is an expected distance of about 9.7 bits with a deviation of 2.9, so the
+radius leaves nearly two deviations of room. A lossless filter comes first: a window is only looked up
+where the words around it hold so many shingles of any items that a passage there can be alike.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from muralog.llm.hashing import shingle_hashes, text_bytes, words_of
@@ -29,11 +32,11 @@ from muralog.sources.scratch import broadcast_if_small, stage
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS, RADIUS = 4, 11
+BLOCKS, RADIUS = 4, 15
 STEP = 1.25
 # Words in a window at most; counts of bits must fit in one byte. A longer item is looked for in parts.
 LONGEST = 200
-# Items that are searched for in one pass over the documents.
+# Items that are searched for in one pass over the documents; a long one counts once per `LONGEST` words.
 ITEMS_PER_PASS = 5_000
 WINDOWS_AT_ONCE = 1 << 16
 
@@ -69,6 +72,11 @@ def running_bits(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def reach(words: int) -> int:
+    """How far an alike passage may begin from where the window puts the item: shared are at least `SIMILARITY` of its shingles."""
+    return int((1 - SIMILARITY) * (words - SHINGLE + 1) + 1e-9)
+
+
 class Index:
     """Fingerprints of item parts by window size, with lists of the parts near each block value."""
 
@@ -84,16 +92,38 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]) -> None:
         self.items = [(i, w) for i, w in ((i, split_words(t)) for i, t in items) if len(w) >= SHINGLE]
+        self.shingles: list[np.ndarray] = []  # distinct hashes of each item, in order
         parts: dict[int, list[tuple[int, int, int]]] = {}  # size: (item, offset of the window in it, fingerprint)
         sizes = np.array(window_sizes())
         for at, (_, words) in enumerate(self.items):
             hashes, *_ = words_of(pa.array([b" ".join(words).decode()], pa.large_string()))
             shingles = shingle_hashes(hashes, SHINGLE)
+            self.shingles.append(np.unique(shingles))
             size = int(sizes[np.searchsorted(sizes, len(words), side="right") - 1])
             fingerprints = window_fingerprints(running_bits(shingles), size - SHINGLE + 1)
             for offset in sorted({*range(0, len(words) - size + 1, LONGEST // 2), len(words) - size}):
                 parts.setdefault(size, []).append((at, offset, int(fingerprints[offset])))
         self.sizes = {size: self._near(found) for size, found in sorted(parts.items())}
+        self.widest = {size: max(len(self.items[at][1]) for at, *_ in found) for size, found in parts.items()}
+        self._all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
+        self._tops = np.zeros(1 << 20, bool)
+        self._tops[self._all >> np.uint64(44)] = True
+
+    def known(self, shingles: np.ndarray) -> np.ndarray:
+        """Which shingle hashes are those of any item."""
+        out = self._tops[shingles >> np.uint64(44)]
+        at = np.flatnonzero(out)
+        out[at] = np.isin(shingles[at], self._all)
+        return out
+
+    def worth(self, shingles: np.ndarray) -> dict[int, np.ndarray]:
+        """By window size: the windows with enough known shingles around for any passage that they can lead to."""
+        shared = np.concatenate([[0], np.cumsum(self.known(shingles))])
+        at, out = np.arange(len(shingles)), {}
+        for size, widest in self.widest.items():
+            around = widest + reach(widest)
+            out[size] = shared[np.minimum(at + around, len(shingles))] - shared[np.maximum(at - around, 0)] >= SIMILARITY * (size - SHINGLE + 1) - 1e-9
+        return out
 
     def _near(self, found: list[tuple[int, int, int]]):
         item, offset = np.array([f[0] for f in found]), np.array([f[1] for f in found])
@@ -115,13 +145,19 @@ class Index:
         `hashes` are the shingles at each word and `ends` the words up to each text's end.
         """
         width = 64 // BLOCKS
-        for begin in range(0, len(hashes), WINDOWS_AT_ONCE):
-            bits = running_bits(hashes[begin:begin + WINDOWS_AT_ONCE + LONGEST])
+        worth = self.worth(hashes)
+        any_size = np.zeros(len(hashes) + 2, np.int8)
+        for mask in worth.values():
+            any_size[1:-1] |= mask
+        edges = np.flatnonzero(np.diff(any_size))
+        runs = [(b, min(stop, b + WINDOWS_AT_ONCE)) for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()) for b in range(start, stop, WINDOWS_AT_ONCE)]
+        for begin, stop in runs:
+            bits = running_bits(hashes[begin:stop + LONGEST])
             for size, (item, offset, prints, tables) in self.sizes.items():
-                windows = window_fingerprints(bits, size - SHINGLE + 1)[:WINDOWS_AT_ONCE] if len(bits) > size - SHINGLE + 1 else prints[:0]
+                windows = window_fingerprints(bits, size - SHINGLE + 1)[:stop - begin] if len(bits) > size - SHINGLE + 1 else prints[:0]
                 first = begin + np.arange(len(windows))
                 text = np.searchsorted(ends, first, side="right")
-                inside = first + size <= ends[np.minimum(text, len(ends) - 1)]
+                inside = (first + size <= ends[np.minimum(text, len(ends) - 1)]) & worth[size][begin:begin + len(windows)]
                 windows, first, text = windows[inside], first[inside], text[inside]
                 for block, (starts, lengths, parts) in enumerate(tables):
                     value = (windows >> np.uint64(block * width)).astype(np.uint32) & ((1 << width) - 1)
@@ -134,24 +170,50 @@ class Index:
                     yield text[window], item[part], first[window] - offset[part]
 
 
+def may_be_alike(index: Index, item: int, low: np.ndarray, high: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether so many shingles of the words [low, high) are the item's that a passage in there can be alike.
+
+    The shared shingles of alike texts are at least `SIMILARITY` of the item's, and equal words hash alike.
+    """
+    own, length = index.shingles[item], len(index.items[item][1])
+    most = int((high - low).max(initial=SHINGLE))
+    out = np.zeros(len(low), bool)
+    step = max(1, (1 << 20) // most)
+    for i in range(0, len(low), step):
+        at = low[i:i + step, None] + np.arange(most - SHINGLE + 1)
+        inside = at + SHINGLE <= high[i:i + step, None]
+        found = hashes[np.where(inside, at, 0)]
+        known = own[np.minimum(np.searchsorted(own, found), len(own) - 1)] == found
+        out[i:i + step] = (known & inside).sum(axis=1) >= SIMILARITY * (length - SHINGLE + 1) - 1e-9
+    return out
+
+
 def find_passages(texts: pa.Array, index: Index) -> list[tuple[int, int, int, float]]:
     """(text, item, first word, similarity) of each item's best passage in each text; of equal ones the first."""
     hashes, starts, stops, ends = words_of(texts)
-    found: set[tuple[int, int, int]] = set()
-    for text, item, first in index.candidates(shingle_hashes(hashes, SHINGLE), ends):
-        found.update(zip(text.tolist(), item.tolist(), first.tolist()))
-    if not found:
-        return []
+    shingles = shingle_hashes(hashes, SHINGLE)
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    found: dict[tuple[int, int], set[int]] = {}
+    for text, item, first in index.candidates(shingles, ends):
+        for one in np.unique(item):
+            at, begin = text[item == one], first[item == one]
+            length = len(index.items[one][1])
+            far = reach(length)
+            low, high = np.maximum(begins[at], begin - far), np.minimum(ends[at], begin + length + far)
+            alike = may_be_alike(index, one, low, high, shingles)
+            for t, f in zip(at[alike].tolist(), begin[alike].tolist()):
+                found.setdefault((t, int(one)), set()).update(range(f - far, f + far + 1))
     data, _ = text_bytes(texts)
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    for text, item, first in sorted(found):
-        begin, end = int(ends[text - 1]) if text else 0, int(ends[text])
+    for (text, item), firsts in sorted(found.items()):
+        begin, end = int(begins[text]), int(ends[text])
         number, words = index.items[item]
-        low, high = max(begin, first), min(end, first + len(words))
-        passage = [data[a:b].tobytes().lower() for a, b in zip(starts[low:high], stops[low:high])]
-        alike = similarity(words, passage)
-        if alike >= SIMILARITY and alike > best.get((text, number), (0.0, 0))[0]:
-            best[text, number] = (alike, low - begin)
+        for first in sorted(firsts):
+            low, high = max(begin, first), min(end, first + len(words))
+            passage = [data[a:b].tobytes().lower() for a, b in zip(starts[low:high], stops[low:high])]
+            alike = similarity(words, passage)
+            if alike >= SIMILARITY and alike > best.get((text, number), (0.0, 0))[0]:
+                best[text, number] = (alike, low - begin)
     return [(t, i, first, s) for (t, i), (s, first) in best.items()]
 
 
@@ -164,9 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    result, block = None, []
-    rows = items.orderBy("item_id", "text").toLocalIterator()
-    while block := [(r.item_id, r.text) for _, r in zip(range(ITEMS_PER_PASS), rows)]:
+    result = None
+    for block in _blocks(items.orderBy("item_id", "text").toLocalIterator()):
         found = _search(texts, block)
         result = found if result is None else result.union(found)
     if result is None:
@@ -176,6 +237,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item_id", (-F.col("best.back")).alias("first_word"), "best.similarity")
 
 
+def _blocks(rows: Iterator[Row]) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of `ITEMS_PER_PASS`, and fewer if they are long, which bounds the lists of an index."""
+    block, size = [], 0
+    for r in rows:
+        weight = max(1, len(split_words(r.text)) // LONGEST)
+        if block and size + weight > ITEMS_PER_PASS:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, r.text))
+        size += weight
+    if block:
+        yield block
+
+
 def _search(texts: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     name = uuid.uuid4().hex
 

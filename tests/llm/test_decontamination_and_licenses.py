@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from texts import words
 
@@ -76,6 +78,52 @@ def test_blocks_of_items_give_the_same(spark, docs_of, monkeypatch):
     assert sorted(decontamination.contaminated(docs_of(rows), items_of(spark, bench)).collect()) == sorted(whole) and len(whole) == 20
 
 
+def edited_copies(length, edits, n):
+    """Items and texts that hold a copy of them with changed words, at the text's end in every other one, alike by the plain search."""
+    rng = random.Random(length)
+    items, texts = [], []
+    while len(items) < n:
+        item = words(rng.randrange(2**40), length, 3000)
+        copy = item.split()
+        for at in rng.sample(range(length), edits):
+            copy[at] = f"edited{rng.randrange(10**6)}"
+        text = f"{words(len(items), 15, 3000)} {' '.join(copy)} {words(len(items) + 1, 15 * (len(items) % 2), 3000)}"
+        if plain_best(item, text) >= decontamination.SIMILARITY:
+            items.append((len(items), item))
+            texts.append(text)
+    return items, texts
+
+
+def test_edited_copies_are_found():
+    """Recall against the plain search, at item lengths that are a window's size (51, 97, 200) and others."""
+    sizes = decontamination.window_sizes()
+    assert {51, 97, 200} <= set(sizes) and not {30, 49, 59} & set(sizes)
+    for length, edits in ((30, 1), (49, 1), (51, 1), (59, 1), (97, 2), (200, 4)):
+        items, texts = edited_copies(length, edits, 200 if length < 97 else 60)
+        found = {(t, i): s for t, i, _, s in decontamination.find_passages(pa.array(texts, pa.large_string()), decontamination.Index(items))}
+        assert sum((i, i) in found for i, _ in items) >= 0.95 * len(items), length
+        assert all(s >= plain_best(items[i][1], texts[t]) - 1e-12 for (t, i), s in found.items())
+
+
+def test_precheck_lets_every_alike_passage_through():
+    rng = random.Random(3)
+    items = [(i, words(i, 12 + 5 * i, 30)) for i in range(8)]  # few words, so shingles repeat
+    index = decontamination.Index(items)
+    for at, (_, item) in enumerate(index.items):
+        for _ in range(40):
+            copy = [w if rng.random() > 0.03 else b"other" for w in item]
+            text = b" ".join([b"before", *copy, b"after"]).decode()
+            hashes, *_ = decontamination.words_of(pa.array([text], pa.large_string()))
+            passed = decontamination.may_be_alike(index, at, np.array([1]), np.array([1 + len(item)]), decontamination.shingle_hashes(hashes, 5))[0]
+            assert passed or decontamination.similarity(item, copy) < decontamination.SIMILARITY
+
+
+def test_long_items_fill_a_block_sooner(monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEMS_PER_PASS", 4)
+    rows = [Row(item_id=i, text=words(i, n)) for i, n in enumerate((30, 30, 500, 2000, 30, 30))]
+    assert [[i for i, _ in b] for b in decontamination._blocks(iter(rows))] == [[0, 1, 2], [3], [4, 5]]
+
+
 def notices(spark, rows):
     return spark.createDataFrame(rows, "template_id long, text string").withColumn("size", F.lit("clash"))
 
