@@ -13,6 +13,7 @@ restores the text.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muralog.llm.words import Encoder, slices
-from muralog.sources.scratch import stage
+from muralog.sources.scratch import broadcast_if_small, stage
 
 BUDGET = 1024
 HISTORY = 192
 # Turns whose tokens are summed in one go; the sums of such blocks are summed after that.
 BLOCK_TURNS = 256
+# Characters of a turn that its place in a range partitioning goes by; the bounds are held by the driver.
+PREFIX = 256
 
 CODES = (("\\", "\\b"), ("</turn", "\\c"), ("<turn", "\\o"))
 END = "</turn>\n"
@@ -46,14 +49,14 @@ def restored(text: Column, role: bool = False) -> Column:
 
 
 def counted_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """Turns as they are written, with their tokens: `conv_id, turn, role, piece, n_tokens`.
+    """Turns as they are written, with their tokens: `conv_id, turn, role, piece, n_tokens`, and `at`, which grows in their order.
 
     NULL roles and texts are empty. Turns follow each other by `turn` (NULL first), then role and text.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    pieces = turns.select(
+    pieces = in_order(turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"),
-        F.concat(F.lit("<turn "), escaped(role, role=True), F.lit(">"), escaped(text), F.lit(END)).alias("text"))
+        F.concat(F.lit("<turn "), escaped(role, role=True), F.lit(">"), escaped(text), F.lit(END)).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer, 0)
@@ -61,22 +64,33 @@ def counted_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
             for rows in slices(batch):
                 _, ends = encoder.encode(rows.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [*[rows.column(c) for c in ("conv_id", "turn", "role")], rows.column("text").cast(pa.string()), pa.array(np.diff(ends, prepend=0) - 1)],
-                    ["conv_id", "turn", "role", "piece", "n_tokens"])
+                    [*[rows.column(c) for c in ("conv_id", "turn", "role")], rows.column("text").cast(pa.string()), pa.array(np.diff(ends, prepend=0) - 1), rows.column("at")],
+                    ["conv_id", "turn", "role", "piece", "n_tokens", "at"])
 
-    return pieces.mapInArrow(run, "conv_id long, turn long, role string, piece string, n_tokens long")
+    return pieces.mapInArrow(run, "conv_id long, turn long, role string, piece string, n_tokens long, at long")
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """Turns with `place` (from 0) in their conversation; blocks of turns first, then places within blocks."""
-    blocked = turns.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
-    by_block = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "piece")
-    begins = blocked.groupBy("conv_id", "block").agg(F.count("*").alias("n")).select(
-        F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(by_block), F.lit(0)).alias("begin"))
-    return blocked.withColumn("nth", F.row_number().over(within)).join(
-        begins, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("block").eqNullSafe(F.col("_block"))).select(
-        *turns.columns, (F.col("begin") + F.col("nth") - 1).alias("place"))
+def in_order(pieces: DataFrame) -> DataFrame:
+    """Rows with `at`, which grows with (conv_id, turn, role, text): the number of an even range in its upper bits, the place in it in the lower 33.
+
+    A conversation of any size is cut, also where its turns are NULL or repeat: ranges go by the first
+    characters of a text, and rows with no more than those are equal and are cut anywhere. Only longer
+    texts of one turn and role that begin alike stay in one range.
+    """
+    short = F.length("text") <= PREFIX
+    keyed = pieces.withColumns({"_prefix": F.substring("text", 1, PREFIX), "_any": F.when(short, F.monotonically_increasing_id()).otherwise(F.lit(2**63 - 1))})
+    ranges = keyed.repartitionByRange("conv_id", "turn", "role", "_prefix", "_any").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ranges.drop("_prefix", "_any").withColumn("at", F.monotonically_increasing_id())
+
+
+def numbered(counted: DataFrame) -> DataFrame:
+    """Turns with `place` (from 0) in their conversation, from the first `at` and the number of its turns in each range."""
+    by_range = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = counted.withColumn("range", F.shiftright("at", 33))
+    begins = stage(ranged.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("at").alias("low")).select(
+        F.col("conv_id").alias("_conv"), F.col("range").alias("_range"), (F.coalesce(F.sum("n").over(by_range), F.lit(0)) - F.col("low")).alias("shift")), "turn-ranges")
+    return ranged.join(broadcast_if_small(begins), F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("range") == F.col("_range"))).select(
+        *[c for c in counted.columns if c != "at"], (F.col("at") + F.col("shift")).alias("place"))
 
 
 def running(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -177,17 +191,39 @@ def read_back(windows: DataFrame) -> DataFrame:
 def conversation_digests(windows: DataFrame) -> DataFrame:
     """Per conversation, from its windows: number and hash of its turns, length and hash of the text under the loss.
 
-    A hash of a whole conversation needs its text in one value, which is what is asked for here; the
-    formatting itself never gathers more than a window.
+    A task goes through its conversations' windows in order and feeds the hashes window by window, so
+    a conversation's text is never gathered, whatever its size.
     """
-    def join(rows: str) -> Column:
-        return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("window", rows))), lambda w: w[rows]), "")
-
     read = read_back(windows).select(
         "conv_id", "window", "chars", F.size("turns").cast("long").alias("n"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("text"),
         F.array_join("loss", "").alias("loss"))
-    return read.groupBy("conv_id").agg(
-        F.sum("n").alias("n_turns"), F.sha2(join("turns"), 256).alias("turns_sha256"),
-        F.sum(F.length("loss")).cast("long").alias("loss_chars"), F.sha2(join("loss"), 256).alias("loss_sha256"),
-        F.sum("chars").alias("formatted_chars"))
+    sized = read.withColumn("loss_chars", F.length("loss").cast("long"))
+    return sized.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(
+        _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    done, conv, sums, hashes = [], None, None, None  # no conversation has begun
+    for batch in batches:
+        ids, *numbers = (batch.column(c).to_pylist() for c in ("conv_id", "n", "loss_chars", "chars"))
+        texts, losses = batch.column("text"), batch.column("loss")
+        for i, (one, *counts) in enumerate(zip(ids, *numbers)):
+            if sums is None or one != conv:
+                if sums is not None:
+                    done.append((conv, sums[0], hashes[0].hexdigest(), sums[1], hashes[1].hexdigest(), sums[2]))
+                conv, sums, hashes = one, [0, 0, 0], (hashlib.sha256(), hashlib.sha256())
+            sums = [a + b for a, b in zip(sums, counts)]
+            hashes[0].update(texts[i].as_buffer())
+            hashes[1].update(losses[i].as_buffer())
+        if done:
+            yield made(done)
+            done = []
+    if sums is not None:
+        yield made([(conv, sums[0], hashes[0].hexdigest(), sums[1], hashes[1].hexdigest(), sums[2])])

@@ -72,6 +72,45 @@ def test_no_conversations(spark):
     assert chat_windows.conversation_digests(chat_windows.format_windows(empty, TOKENIZER)).count() == 0
 
 
+def test_one_conversation_in_many_ranges(spark):
+    """Turns that are NULL, repeat or are equal rows are cut evenly, and still follow each other by turn, role and text."""
+    n = 6000
+    rows = [(1, None, "user", words(i, 8)) for i in range(n)] + [(2, 5, "user", "ok")] * n + [(3, i % 3, "assistant", words(i, 60 + i % 3)) for i in range(n)]
+    rows += [(None, None, None, None)] * 50
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        counted = chat_windows.stage(chat_windows.counted_turns(spark.createDataFrame(rows, SCHEMA), TOKENIZER), "test-turns")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    ranges = counted.groupBy(F.shiftright("at", 33)).count().collect()
+    assert len(ranges) >= 4 and max(r["count"] for r in ranges) < 2 * len(rows) / len(ranges)
+    got = defaultdict(list)
+    for r in chat_windows.numbered(counted).orderBy("place").collect():
+        got[r.conv_id].append((r.place, (r.turn is not None, r.turn or 0, r.role, r.piece)))
+    for c, v in got.items():
+        assert [p for p, _ in v] == list(range(n if c else 50))
+        assert [k for _, k in v] == sorted(k for _, k in v)
+    assert len(got) == 4
+
+
+def test_digests_gather_no_conversation(spark):
+    """Windows stay rows of their own up to the hash; keys NULL, one and two, over several Arrow batches."""
+    rows = [(c, i, "user" if i % 2 else "assistant", words(i, 40)) for c in (None, 1, 2) for i in range(1500)]
+    windows = chat_windows.stage(chat_windows.format_windows(spark.createDataFrame(rows, SCHEMA), TOKENIZER, budget=300, history=60), "test-windows")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        digests = chat_windows.conversation_digests(windows)
+        plan = digests._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan
+        got = {r.conv_id: r for r in digests.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c, v in plain(rows).items():
+        assert got[c].n_turns == 1500 and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in v).encode()).hexdigest()
+        assert got[c].loss_sha256 == hashlib.sha256("".join(x for r, x in v if r == "assistant").encode()).hexdigest()
+    assert len(got) == 3
+
+
 def plain_verdicts(pages, rules):
     placed = []
     for page_id, url, html in pages:
