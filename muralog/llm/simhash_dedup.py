@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muralog.llm.graph import components
@@ -52,18 +52,24 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """`doc_id` and `fp`, the fingerprint as a signed long, of every whole text. A NULL text has no word."""
+def text_hash() -> Column:
+    """Tells the rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """`doc_id` and `fp`, the fingerprint as a signed long, of every whole text, and its `text_hash` if asked for. A NULL text has no word."""
+    carried = ["doc_id", *["text_hash"] * hashed]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch):
                 texts = rows.column("text").cast(pa.large_binary()).to_numpy(zero_copy_only=False)
                 fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in carried], pa.array(fps.view(np.int64))], [*carried, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[text_hash().alias("text_hash")] * hashed).mapInArrow(
+        run, ", ".join(f"{c} long" for c in [*carried, "fp"]))
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
@@ -115,33 +121,37 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return near.union(ties.where("a < b").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, hashed: bool = False) -> DataFrame:
     """`doc_id`, `fp`, and `component_id`, the smallest id reachable over links within the radius.
 
     Texts without a word (NULL, empty, white space) have fingerprint zero and are linked like any
     other. Rows with the same id share a component if their fingerprints do, and are returned as often
     as they occur; a NULL id is never a component's name unless no other id is in it. An empty table
-    gives an empty result.
+    gives an empty result. With `hashed`, each row also has its `text_hash`.
     """
-    marked = stage(fingerprints(docs, shingle), "fingerprints")
+    marked = stage(fingerprints(docs, shingle, hashed), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     named = components(links(distinct.select("fp"), radius))  # vertex, root
     classes = distinct.join(named, distinct.fp == named.vertex, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fingerprint = stage(classes.join(smallest, "root").select("fp", "component_id"), "classes")
-    return marked.join(of_fingerprint, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_fingerprint, "fp").select("doc_id", "fp", "component_id", *["text_hash"] * hashed)
 
 
 def first_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The documents without near-duplicates: of each component, the one with the smallest id stays.
 
     Rows that share an id are one document: of those that would stay, the row with the smallest text
-    does. A document without an id cannot be named and stays.
+    does; a row that is a near copy in another component goes. A document without an id cannot be named
+    and stays.
     """
-    found = stage(near_duplicates(docs, shingle, radius).where("doc_id = component_id").groupBy("doc_id").agg(
+    found = stage(near_duplicates(docs, shingle, radius, hashed=True).where("doc_id = component_id").groupBy("doc_id", "text_hash").agg(
         F.count("*").alias("n")), "first-of-each")
-    once = docs.join(broadcast_if_small(found.where("n = 1").select("doc_id")), "doc_id", "left_semi")
-    more = docs.join(broadcast_if_small(found.where("n > 1").select("doc_id")), "doc_id", "left_semi")
+    rows = stage(found.join(found.groupBy("doc_id").agg(F.sum("n").alias("all")), "doc_id").select(
+        F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), (F.col("all") == 1).alias("_once")), "kept-rows")
+    same = (F.col("doc_id") == F.col("_kept_id")) & (text_hash() == F.col("_kept_hash"))
+    once = docs.join(broadcast_if_small(rows.where("_once")), same, "left_semi")
+    more = docs.join(broadcast_if_small(rows.where("not _once")), same, "left_semi")
     one = more.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
     return once.select(docs.columns).union(one.select(docs.columns)).union(docs.where("doc_id is null"))

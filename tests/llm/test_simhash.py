@@ -93,3 +93,11 @@ def test_one_of_each_group_stays(docs_of, no_docs):
     assert simhash_dedup.first_of_each(no_docs).count() == 0
     assert simhash_dedup.first_of_each(docs_of(rows)).columns == docs_of(rows).columns
     assert np.array_equal(simhash_dedup.near_duplicates(no_docs).columns, ["doc_id", "fp", "component_id"])
+
+
+def test_rows_of_one_id_in_several_components(docs_of):
+    """Of an id's rows only one of its own component stays, though another is a near copy of a smaller id."""
+    a, b, c = f"a {words(50, 60)}", f"b {words(51, 60)}", f"c {words(52, 60)}"
+    rows = [(1, a), (5, a), (5, b), (6, a), (6, c), (6, c), (7, b)]
+    kept = simhash_dedup.first_of_each(docs_of(rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == [(1, a), (5, b), (6, c)]
