@@ -16,6 +16,7 @@ from muralog.llm import (
     packing,
     quality_rules,
     simhash_dedup,
+    spelling,
     token_output,
     url_trust,
 )
@@ -101,6 +102,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), notices)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), least_chars=7, least_n=2, ratio=10, slip=31)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
@@ -112,6 +117,7 @@ QUERIES = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_license_scan": op10_license_scan,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 # The others depend on a tokenizer, on XXH64 or on hashed models; tests/llm compares them with plain versions.
