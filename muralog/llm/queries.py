@@ -12,6 +12,7 @@ from muralog.llm import (
     importance,
     language_id,
     license_scan,
+    nearest,
     oracles,
     packing,
     quality_rules,
@@ -106,6 +107,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), least_chars=7, least_n=2, ratio=10, slip=31)
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
@@ -118,6 +123,7 @@ QUERIES = {
     "op9_importance_resampling": op9_importance_resampling,
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
 
 # The others depend on a tokenizer, on XXH64 or on hashed models; tests/llm compares them with plain versions.

@@ -38,10 +38,12 @@ def one_edit(a, b):
 
 def plain_variants(rows, least_chars=7, least_n=2, ratio=10, slip=None):
     words = plain_counts(rows, least_chars, least_n, slip)
-    by_length = {}
+    shares = {}  # only words that share a text with one letter replaced by a blank or left out can be near
     for w in words:
-        by_length.setdefault(len(w), []).append(w)
-    near = {w: [o for k in (-1, 0, 1) for o in by_length.get(len(w) + k, []) if one_edit(w, o)] for w in words}
+        for key in {w, *(w[:i] + w[i + 1:] for i in range(len(w))), *(w[:i] + " " + w[i + 1:] for i in range(len(w)))}:
+            shares.setdefault(key, []).append(w)
+    keys = {w: {w, *(w[:i] + w[i + 1:] for i in range(len(w))), *(w[:i] + " " + w[i + 1:] for i in range(len(w)))} for w in words}
+    near = {w: {o for key in keys[w] for o in shares[key] if one_edit(w, o)} for w in words}
     form = {}
     for w, n in words.items():
         best = min(near[w], key=lambda o: (-words[o], o), default=None)
