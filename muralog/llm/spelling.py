@@ -8,9 +8,10 @@ own letters alone.
 
 One edit touches the grams that span its place. Of a set of grams it can touch all only if all of them
 span one place, so the least set of which an edit always leaves one alone is a pair of grams that do not
-overlap: for each word the pair with the shortest lists. The lists of the pair are merged, and every
-word on them, one letter longer or of the same length, with the gram where the edit lets it be, is
-compared exactly.
+overlap: an edit behind the left one leaves it and all letters before it alone, any other edit leaves
+the right one and all letters behind it alone. The list of a gram is therefore kept by those letters
+too, which makes it short. For each word the pair with the shortest lists is chosen, its lists are
+merged, and every word on them, of the same length or one letter longer, is compared exactly.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muralog.llm.words import slices
-from muralog.sources.scratch import broadcast_if_small, stage
+from muralog.sources.scratch import stage
 
 LETTERS = "A-Za-zÀ-ÿ"
 # The dictionary goes to every task; the frequency from which a gram is held follows from this bound.
 MOST_GRAMS = 200_000
 LEAST_FREQUENCY = 20
 LONGEST_GRAM = 8
+# About how much of a list one more letter leaves; only the choice between a word's grams depends on it.
+SHARE = 0.25
 # A task hands on its counts when it holds this many.
 HELD_COUNTS = 400_000
 
@@ -132,16 +135,20 @@ def decompose(word: str, held: dict[str, int], forwards: int, backwards: int) ->
 
 
 def probes(word: str, held: dict[str, int], frequent: int, longest: int = LONGEST_GRAM) -> tuple[tuple[int, int], tuple[int, int]]:
-    """The two grams without a common letter whose lists are shortest together, the left one first."""
+    """The two grams without a common letter whose lists are shortest together, the left one first.
+
+    A list is about as long as the gram is frequent, and each letter kept with it divides it further.
+    """
     n = len(word)
     left: list = [None] * (n + 1)   # by an end that is not passed: (cost, gram)
     right: list = [None] * (n + 1)  # by a begin that is kept to
     for a, b in sorted(decompose(word, held, *caps(n, longest))):
-        cost = (held.get(word[a:b], frequent / 2), a, b)
-        if left[b] is None or cost < left[b]:
-            left[b] = cost
-        if right[a] is None or cost < right[a]:
-            right[a] = cost
+        cost = held.get(word[a:b], frequent / 2)
+        before, behind = (cost * SHARE ** a, a, b), (cost * SHARE ** (n - b), a, b)
+        if left[b] is None or before < left[b]:
+            left[b] = before
+        if right[a] is None or behind < right[a]:
+            right[a] = behind
     for i in range(1, n + 1):
         if left[i - 1] is not None and (left[i] is None or left[i - 1] < left[i]):
             left[i] = left[i - 1]
@@ -156,10 +163,10 @@ def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAS
     """`word`, `other`: all pairs of the given distinct words (two letters at least) that differ by one edit, in both directions."""
     held, frequent = gram_dictionary(words, most_grams, least, longest)
 
-    def rows(of: list[str], found: list[tuple[int, str, int, int]]) -> pa.RecordBatch:
-        at, gram, begin, length = zip(*found) if found else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()).take(pa.array(at, pa.int64())), pa.array(gram, pa.string()),
-                                           pa.array(begin, pa.int32()), pa.array(length, pa.int32())], ["word", "gram", "begin", "length"])
+    def rows(of: list[str], found: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
+        at, side, letters, length = zip(*found) if found else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()).take(pa.array(at, pa.int64())), pa.array(side, pa.int32()),
+                                           pa.array(letters, pa.string()), pa.array(length, pa.int32())], ["word", "side", "letters", "length"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +174,11 @@ def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAS
             found = []
             for i, w in enumerate(of):
                 # Words of the same length, and those one letter shorter, decompose it by their own caps.
-                own, shorter = caps(len(w), longest), caps(len(w) - 1, longest)
+                n, own, shorter = len(w), caps(len(w), longest), caps(len(w) - 1, longest)
                 grams = decompose(w, held, *own)
                 if shorter != own:
                     grams |= decompose(w, held, *shorter)
-                found += [(i, w[a:b], a, len(w)) for a, b in grams]
+                found += [(i, 0, w[:b], n) for b in {b for _, b in grams}] + [(i, 1, w[a:], n) for a in {a for a, _ in grams}]
             yield rows(of, found)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,15 +186,15 @@ def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAS
             of = batch.column("word").to_pylist()
             found = []
             for i, w in enumerate(of):
-                for a, b in probes(w, held, frequent, longest):
-                    # An inserted letter lies behind the gram, or before it.
-                    found += [(i, w[a:b], a, len(w)), (i, w[a:b], a, len(w) + 1), (i, w[a:b], a + 1, len(w) + 1)]
+                (_, b), (a, _) = probes(w, held, frequent, longest)
+                found += [(i, side, letters, len(w) + more) for side, letters in ((0, w[:b]), (1, w[a:])) for more in (0, 1)]
             yield rows(of, found)
 
-    schema = "word string, gram string, begin int, length int"
-    key = F.xxhash64("gram", "begin", "length").alias("key")
-    index = words.select("word").mapInArrow(listed, schema).select(F.col("word").alias("other"), key)
-    lists = words.select("word").mapInArrow(probed, schema).select("word", key)
+    schema = "word string, side int, letters string, length int"
+    key = F.xxhash64("side", "letters", "length").alias("key")
+    words = words.select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = words.mapInArrow(listed, schema).select(F.col("word").alias("other"), key)
+    lists = words.mapInArrow(probed, schema).select("word", key)
     met = lists.join(index, "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     once = met.select("word", "other").distinct()
     both = F.when(F.length("word") == F.length("other"), F.array(F.struct("word", "other"))).otherwise(
@@ -200,7 +207,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onwards = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        followed = stage(found.join(broadcast_if_small(onwards), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        followed = stage(found.join(onwards, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         found = followed.select("word", "root")
         if followed.where("moved").isEmpty():
             return found
