@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muralog.llm import (
+    alignment,
     chat_windows,
     decontamination,
     importance,
@@ -26,6 +27,8 @@ from muralog.sources.scratch import stage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 # The rules of the URL filter, and short license notices as they are commonly worded.
 URL_RULES = [
@@ -111,6 +114,10 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_mixture_packing": op2_mixture_packing,
@@ -124,6 +131,7 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 # The others depend on a tokenizer, on XXH64 or on hashed models; tests/llm compares them with plain versions.
