@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -159,14 +160,28 @@ def probes(word: str, held: dict[str, int], frequent: int, longest: int = LONGES
     return x[1:], y[1:]
 
 
+def letter_marks(word: str) -> int:
+    """Two bits for each of 32 classes of letters: whether the word has one, and more than one, of the class.
+
+    A letter that comes or goes changes one bit at most, so one edit changes two at most.
+    """
+    marks = 0
+    for c in word:
+        bit = 1 << 2 * (ord(c) & 31)
+        marks |= bit << 1 if marks & bit else bit
+    return marks
+
+
 def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAST_FREQUENCY, longest: int = LONGEST_GRAM) -> DataFrame:
     """`word`, `other`: all pairs of the given distinct words (two letters at least) that differ by one edit, in both directions."""
     held, frequent = gram_dictionary(words, most_grams, least, longest)
 
     def rows(of: list[str], found: list[tuple[int, int, str, int]]) -> pa.RecordBatch:
         at, side, letters, length = zip(*found) if found else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()).take(pa.array(at, pa.int64())), pa.array(side, pa.int32()),
-                                           pa.array(letters, pa.string()), pa.array(length, pa.int32())], ["word", "side", "letters", "length"])
+        at = pa.array(at, pa.int64())
+        marks = pa.array(np.array([letter_marks(w) for w in of], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(of, pa.string()).take(at), marks.take(at), pa.array(side, pa.int32()), pa.array(letters, pa.string()), pa.array(length, pa.int32())],
+                                          ["word", "marks", "side", "letters", "length"])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,12 +205,14 @@ def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAS
                 found += [(i, side, letters, len(w) + more) for side, letters in ((0, w[:b]), (1, w[a:])) for more in (0, 1)]
             yield rows(of, found)
 
-    schema = "word string, side int, letters string, length int"
+    schema = "word string, marks long, side int, letters string, length int"
     key = F.xxhash64("side", "letters", "length").alias("key")
     words = words.select("word").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = words.mapInArrow(listed, schema).select(F.col("word").alias("other"), key)
-    lists = words.mapInArrow(probed, schema).select("word", key)
-    met = lists.join(index, "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
+    index = words.mapInArrow(listed, schema).select(F.col("word").alias("other"), F.col("marks").alias("other_marks"), key)
+    lists = words.mapInArrow(probed, schema).select("word", "marks", key)
+    # Most words of a list differ in more letters than one edit explains, which the marks tell at once.
+    alike = lists.join(index, "key").where(F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= 2)
+    met = alike.where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     once = met.select("word", "other").distinct()
     both = F.when(F.length("word") == F.length("other"), F.array(F.struct("word", "other"))).otherwise(
         F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other"))))
