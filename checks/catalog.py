@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixture as fx
-from muralog.operators import (activity, baseline, charts, churn, diversity, evaluation, features, model, newcomers,
-                               sampling, sessions)
+from muralog.operators import (activity, baseline, charts, churn, diversity, evaluation, features, folds, intervals, model,
+                               newcomers, sampling, sessions)
 from muralog.plans import survival
+from muralog.sources import upkeep
 from muralog.sources.placements import read_placements, write_placements
 from muralog.sources.raw_log import ingest_placements, read_raw_log
 from muralog.sources.scratch import scratch_path, stage
@@ -471,10 +473,74 @@ def user_spread(df):
 
 @query
 def cut_pixel_history(df):
-    """`pixel_history` with all but the quietest pixels cut into pieces."""
-    return features.pixel_history(df, target_rows=5).select("event_id", "prior_changes_at_pixel", "time_since_last_change_sec")
+    """`pixel_history` with all but the quietest pixels cut, into about a hundred pieces however long the table is."""
+    return features.pixel_history(df, target_rows=5, piece_rows=max(5, df.count() // 50)).select("event_id", "prior_changes_at_pixel", "time_since_last_change_sec")
 
 
 @query
 def newcomers_per_quarter(df):
     return newcomers.spike_first_time_users(df, "2024-01-01 00:00:00", "quarter")
+
+
+# Places in time, neighbours themselves, stored sessions
+
+@query
+def time_rank(df):
+    return folds.time_rank(df, max(100, df.count() // 20)).select("event_id", "time_rank")
+
+
+@query
+def time_fold(df):
+    return folds.time_fold(df, 5, max(100, df.count() // 20)).select("event_id", "fold")
+
+
+@query
+def uneven_time_fold(df):
+    """Folds that the rows do not divide into."""
+    return folds.fold_summary(folds.time_fold(df, 7, max(100, df.count() // 20)))
+
+
+@query
+def forward_chaining(df):
+    """Rows and time span of each round of the cross-validation by time."""
+    folded = stage(folds.time_fold(df, 5), "folded")
+    rounds = [part.select(F.lit(k + 2).alias("round"), F.lit(name).alias("part"), "ts") for k, pair in enumerate(folds.forward_chaining(folded, 5))
+              for name, part in zip(("train", "test"), pair)]
+    every = reduce(DataFrame.unionByName, rounds)
+    return every.groupBy("round", "part").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def _asked(df):
+    return stage(sampling.uniform_sample(df, fx.N_ASKED, fx.SEED), "asked")
+
+
+@query
+def neighbors_before(df):
+    return intervals.neighbors_before(df, _asked(df), fx.GRID, fx.LOOKBACK_MINUTES, target_rows=max(20, df.count() // 2000))
+
+
+@query
+def neighborhood_profile(df):
+    return intervals.neighborhood_profile(df, _asked(df), fx.GRID, fx.LOOKBACK_MINUTES)
+
+
+def _stored(spark, sf_dir):
+    """A store that has taken the placements in three batches: even days, odd days, and late rows of all days."""
+    df = fx.placements(spark, sf_dir)
+    late, odd = F.col("event_id") % 10 == 3, F.dayofyear("ts") % 2 == 1
+    path = scratch_path(spark, "session-store")
+    for part in (~late & ~odd, ~late & odd, late):
+        upkeep.append_batch(df.filter(part), path, fx.SESSION_GAP)
+    return path
+
+
+def appended_sessions(spark, sf_dir):
+    return fx.comparable(upkeep.stored_sessions(spark, _stored(spark, sf_dir)).drop("events"))
+
+
+def appended_user_bounds(spark, sf_dir):
+    return fx.comparable(upkeep.stored_users(spark, _stored(spark, sf_dir)))
+
+
+for _named in (appended_sessions, appended_user_bounds):
+    QUERIES[_named.__name__] = _named

@@ -23,6 +23,7 @@ SPIKE, UNIT = "2024-01-01 00:00:00", "hour"
 RANGE = ("2024-01-03 20:30:00", "2024-01-05 21:30:00")
 SHORT, LONG = 42500, 42900
 N_BINS, N_TOTAL, SEED = 24, 2400, 42
+N_ASKED = 300
 SURVIVE_MINUTES, GRID, LOOKBACK_MINUTES = 2880, 10, 1440
 
 

@@ -78,6 +78,11 @@ STEPS = {
                coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 1e9) AS time_since_last_change_sec,
                CAST(floor(x / {fx.GRID}) AS INTEGER) AS gx, CAST(floor(y / {fx.GRID}) AS INTEGER) AS gy
         FROM p WINDOW w AS (PARTITION BY x, y ORDER BY ts, event_id)"""),
+    "asked": (["timeline"], f"""
+        SELECT * FROM timeline ORDER BY md5(concat_ws('|', event_id, '{fx.SEED}')), event_id LIMIT {fx.N_ASKED}"""),
+    "near_pairs": (["asked"], f"""
+        SELECT s.event_id, s.ts, f.event_id AS near_event_id FROM asked s JOIN timeline f ON f.gx = s.gx AND f.gy = s.gy
+             AND f.ts >= s.ts - INTERVAL {fx.LOOKBACK_MINUTES} MINUTE AND f.ts < s.ts"""),
     "labeled": (["timeline"], f"""
         SELECT *, CASE WHEN next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(ts)) / 6e7 >= {fx.SURVIVE_MINUTES}
                        THEN 1 ELSE 0 END AS {_LABEL} FROM timeline"""),
@@ -329,4 +334,27 @@ ORACLES = {
     "user_spread": _sql("""
         SELECT user_id, count(*) AS placements, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y,
                round(sqrt(var_pop(x) + var_pop(y)), 6) AS spread FROM low_xy GROUP BY user_id""", "low_xy"),
+    "time_rank": _sql("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS time_rank FROM p", "p"),
+    "time_fold": _sql("SELECT event_id, CAST(ntile(5) OVER (ORDER BY ts, event_id) AS INTEGER) AS fold FROM p", "p"),
+    "uneven_time_fold": _sql("""
+        , f AS (SELECT ts, CAST(ntile(7) OVER (ORDER BY ts, event_id) AS INTEGER) AS fold FROM p)
+        SELECT fold, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM f GROUP BY fold""", "p"),
+    "forward_chaining": _sql("""
+        , f AS (SELECT ts, ntile(5) OVER (ORDER BY ts, event_id) AS fold FROM p)
+        SELECT CAST(r AS INTEGER) AS round, CASE WHEN fold < r THEN 'train' ELSE 'test' END AS part,
+               count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
+        FROM f, range(2, 6) AS rounds(r) WHERE fold <= r GROUP BY 1, 2""", "p"),
+    "neighbors_before": _sql("""
+        SELECT s.event_id, f.event_id AS near_event_id, f.user_id AS near_user_id, f.pc AS near_pc,
+               round((epoch_us(s.ts) - epoch_us(f.ts)) / 1e6, 6) AS seconds_before FROM near_pairs s JOIN timeline f ON f.event_id = s.near_event_id""",
+        "near_pairs"),
+    "neighborhood_profile": _sql("""
+        SELECT a.event_id, count(f.event_id) AS n_near, max_by(f.event_id, {'t': f.ts, 'i': f.event_id}) AS last_near_event_id,
+               round(CAST(sum(epoch_us(a.ts) - epoch_us(f.ts)) AS DOUBLE) / nullif(count(f.event_id), 0) / 1e6, 6) AS mean_seconds_before,
+               round(avg(CASE WHEN f.event_id IS NULL THEN NULL WHEN a.pc IS NOT DISTINCT FROM f.pc THEN 1 ELSE 0 END), 6) AS same_color_share
+        FROM asked a LEFT JOIN near_pairs n USING (event_id) LEFT JOIN timeline f ON f.event_id = n.near_event_id
+        GROUP BY a.event_id""", "near_pairs"),
+    "appended_sessions": _sql("SELECT * FROM all_sessions", "all_sessions"),
+    "appended_user_bounds": _sql("""
+        SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM p GROUP BY user_id""", "p"),
 }

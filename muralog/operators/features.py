@@ -19,7 +19,7 @@ def grid_cell(df: DataFrame, size: int = 20) -> DataFrame:
     return df.withColumns({f"g{c}": F.floor(F.col(c) / F.lit(size)).cast("int") for c in ("x", "y")})
 
 
-def pixel_timeline(full: DataFrame, sample: DataFrame | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
+def pixel_timeline(full: DataFrame, sample: DataFrame | None = None, target_rows: int = TARGET_ROWS, piece_rows: int | None = None) -> DataFrame:
     """Sampled rows with `next_ts, prior_changes_at_pixel, time_since_last_change_sec`.
 
     One ordering of the placements by pixel serves the label and the history.
@@ -33,11 +33,11 @@ def pixel_timeline(full: DataFrame, sample: DataFrame | None = None, target_rows
         F.coalesce(seconds_between("prev_ts", "ts"), F.lit(NEVER_CHANGED_SEC)).alias("time_since_last_change_sec"),
     ]
     if sample is None:
-        return with_neighbours(full, ["x", "y"], target_rows).select(*full.columns, *history)
+        return with_neighbours(full, ["x", "y"], target_rows, piece_rows).select(*full.columns, *history)
     pixels = stage(sample.select("x", "y").distinct(), "sampled-pixels")
     ids = stage(sample.select("event_id"), "sampled-ids")
     events = full.select("event_id", "ts", "x", "y").join(broadcast_if_small(pixels), ["x", "y"], "left_semi")
-    lines = with_neighbours(events, ["x", "y"], target_rows).select("event_id", *history)
+    lines = with_neighbours(events, ["x", "y"], target_rows, piece_rows).select("event_id", *history)
     return sample.join(lines.join(broadcast_if_small(ids), "event_id", "left_semi"), "event_id")
 
 
@@ -55,9 +55,9 @@ def survival_label(full: DataFrame, sample: DataFrame | None = None, minutes: fl
     )
 
 
-def pixel_history(full: DataFrame, sample: DataFrame | None = None, target_rows: int = TARGET_ROWS) -> DataFrame:
+def pixel_history(full: DataFrame, sample: DataFrame | None = None, target_rows: int = TARGET_ROWS, piece_rows: int | None = None) -> DataFrame:
     """Sampled rows with the changes made before them at the same pixel and the time since the last one."""
-    return pixel_timeline(full, sample, target_rows).drop("next_ts")
+    return pixel_timeline(full, sample, target_rows, piece_rows).drop("next_ts")
 
 
 def neighborhood_activity(full: DataFrame, sample: DataFrame, size: int = 20, lookback_minutes: float = 10,

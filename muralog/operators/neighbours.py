@@ -13,6 +13,7 @@ from muralog.sources.scratch import broadcast_if_small, stage
 
 # A key with more rows than this is ordered in pieces of about half as many.
 TARGET_ROWS = 5_000_000
+MOST_PIECES = 40_000
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
@@ -24,7 +25,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], target_rows: int) -> DataFram
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > target_rows)
 
 
-def heavy_pieces(df: DataFrame, heavy: DataFrame, keys: Sequence[str], target_rows: int) -> DataFrame:
+def heavy_pieces(df: DataFrame, heavy: DataFrame, keys: Sequence[str], piece_rows: int) -> DataFrame:
     """The rows of heavy keys with `_piece`, consecutive runs in (key, ts, event_id) order.
 
     The pieces come from a range partitioning of just these rows, so they are even in rows however
@@ -33,21 +34,22 @@ def heavy_pieces(df: DataFrame, heavy: DataFrame, keys: Sequence[str], target_ro
     """
     total = heavy.agg(F.sum("n")).first()[0]
     hot = _matching(df, heavy, keys, "left_semi")
-    pieces = hot.repartitionByRange(max(2, -(-2 * total // target_rows)), *keys, "ts", "event_id")
+    pieces = hot.repartitionByRange(max(2, min(MOST_PIECES, -(-2 * total // piece_rows))), *keys, "ts", "event_id")
     return stage(pieces.withColumn("_piece", F.spark_partition_id()), "heavy-pieces")
 
 
-def with_neighbours(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
+def with_neighbours(df: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS, piece_rows: int | None = None) -> DataFrame:
     """Add `prev_ts`, `next_ts` and `earlier_rows` within the key, in (ts, event_id) order.
 
     Rows of ordinary keys are ordered in one window. A key that is too long for that is cut into
-    pieces: each piece is ordered on its own, and a summary of the pieces (first instant, last
-    instant, length) supplies what lies across their edges.
+    pieces of about half of `piece_rows` (by default `target_rows`): each piece is ordered on its own,
+    and a summary of the pieces (first instant, last instant, length) supplies what lies across their edges.
     """
-    heavy = stage(heavy_keys(df, keys, target_rows), "heavy-keys")
-    if heavy.isEmpty():
+    heavy = heavy_keys(df, keys, target_rows)
+    if heavy.agg(F.max("n")).first()[0] is None:
         return _ordered(df, list(keys))
-    cut = heavy_pieces(df, heavy, keys, target_rows)
+    heavy = stage(heavy, "heavy-keys")
+    cut = heavy_pieces(df, heavy, keys, piece_rows or target_rows)
     parts = [*keys, "_piece"]
 
     summary = cut.groupBy(*parts).agg(
