@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muralog.llm import license_scan, quality_rules, url_trust
+from muralog.llm import quality_rules, url_trust
 
 
 def _text(value: str) -> str:
@@ -112,12 +112,11 @@ def url_sql(rules: list[tuple[str, str]]) -> str:
 
 
 def license_sql(notices: list[tuple[int, str]]) -> str:
-    """All shingles of all texts against those of all templates, counted by window."""
-    s = license_scan
+    """From the definition: all shingles of all texts against those of all templates, counted by window."""
     words = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
     return f"""
         WITH t AS (
-            SELECT id, w, len(w) AS size, least({s.SHINGLE}, len(w)) AS k, greatest(1, len(w) // 2) AS step
+            SELECT id, w, len(w) AS size, least(5, len(w)) AS k, greatest(1, len(w) // 2) AS step
             FROM (SELECT id, {words.format('notice')} AS w FROM (VALUES {', '.join(f'({i}, {_text(n)})' for i, n in notices)}) AS v(id, notice))),
         wanted AS (SELECT *, list_distinct(list_transform(range(1, size - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS own FROM t),
         own AS (SELECT id, size, k, step, len(own) AS total, unnest(own) AS shingle FROM wanted),
@@ -131,7 +130,7 @@ def license_sql(notices: list[tuple[int, str]]) -> str:
             FROM said JOIN own USING (k, shingle)),
         held AS (
             SELECT doc_id, id AS template_id, first_word, count(DISTINCT shingle) * 1.0 / any_value(total) AS contained
-            FROM placed WHERE first_word + size <= n GROUP BY 1, 2, 3)
+            FROM placed WHERE first_word + size <= n OR first_word = 0 GROUP BY 1, 2, 3)
         SELECT doc_id, CAST(template_id AS BIGINT) AS template_id, CAST(first_word AS INTEGER) AS first_word, CAST(contained AS DOUBLE) AS contained FROM (
-            SELECT *, row_number() OVER (PARTITION BY doc_id, template_id ORDER BY contained DESC, first_word) AS r FROM held WHERE contained >= {s.CONTAINED})
+            SELECT *, row_number() OVER (PARTITION BY doc_id, template_id ORDER BY contained DESC, first_word) AS r FROM held WHERE contained >= 0.8)
         WHERE r = 1"""

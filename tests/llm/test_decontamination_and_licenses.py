@@ -135,7 +135,7 @@ def plain_contained(template, text):
     own = {tuple(t[i:i + k]) for i in range(len(t) - k + 1)}
     step = max(1, len(t) // 2)
     best = 0.0
-    for at in range(0, len(d) - len(t) + 1, step):
+    for at in range(0, max(0, len(d) - len(t)) + 1, step):
         w = d[at:at + len(t) + step - 1]
         best = max(best, len(own & {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}) / len(own))
     return best
@@ -163,6 +163,30 @@ def test_notices_in_odd_rows(spark, docs_of, odd_rows, no_docs):
     assert license_scan.scan(docs_of(rows), notices(spark, templates).where("false")).count() == 0
 
 
+def test_short_texts_and_blocks_of_templates(spark, docs_of, monkeypatch):
+    """Texts shorter than their template, rows that share an id, many templates in blocks, and no search for the needed words."""
+    templates = LICENSE_NOTICES + [(100 + i, words(i, 40, 5000)) for i in range(60)]
+    rows = []
+    for j, (i, t) in enumerate(templates):
+        t = t.split()
+        cut = max(1, len(t) // 12)
+        rows += [(4 * j, " ".join(t[cut:])), (4 * j, words(j, 30, 5000)), (4 * j + 1, " ".join(t[:-cut])), (4 * j + 2, f"{words(j, 30)} {' '.join(t[:-cut])}"), (4 * j + 3, f"{' '.join(t[cut:])} {words(j, 9)}")]
+    want = {}
+    for i, t in rows:
+        for j, template in templates:
+            if (c := plain_contained(template, t)) >= license_scan.CONTAINED:
+                want[i, j] = max(want.get((i, j), 0), c)
+    assert len(want) > 200
+    for block, searched in ((5000, 200), (5000, 0), (300, 200), (1, 200)):
+        monkeypatch.setattr(license_scan, "BLOCK_WORDS", block)
+        monkeypatch.setattr(license_scan, "SEARCHED_WORDS", searched)
+        if block == 1:
+            templates = templates[:8]
+            want = {k: v for k, v in want.items() if k[1] in dict(templates)}
+        got = {(r.doc_id, r.template_id): r.contained for r in license_scan.scan(docs_of(rows), notices(spark, templates)).collect()}
+        assert got == want
+
+
 def test_anchors_are_in_every_text_that_can_match():
     rng = random.Random(8)
     for _, template in LICENSE_NOTICES:
