@@ -40,7 +40,6 @@ FAN = 16
 HEAD_PAIRS = 2_000_000
 # A task hands on its counts when it holds this many.
 HELD_PAIRS = 1_000_000
-HELD_IDS = 8_000_000
 
 BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
 # Texts in which every blank stands alone between other characters are the sum of their words.
@@ -117,8 +116,6 @@ class Pair:
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, ...]]:
         """`(ids_a, n_a, ids_b, n_b, valid)` of the texts; an invalid or empty text has no ids and is not valid."""
-        if len(self._memo._flat) > HELD_IDS:
-            self._memo._clear()
         whole = pc.match_substring_regex(texts, NOT_BY_WORD)
         if not self._by_word or pc.any(whole).as_py():
             # Texts that can't be put together from words are encoded one by one.

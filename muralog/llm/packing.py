@@ -17,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from muralog.llm.token_output import ids_of, token_table
+from muralog.llm.token_output import ids_of, runs_of_bytes, token_table
+from muralog.llm.words import expand
 from muralog.sources.scratch import sized
 
 TURN = 64
-# The totals of the queues are one row each at the driver; a mixture has few of them.
+# The totals of the queues are one row each at the driver. More sources than this share queues.
 MOST_QUEUES = 10_000
 # Documents whose pieces are made in one go, which bounds a worker's memory.
 ROWS_AT_ONCE = 500
@@ -98,52 +99,63 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096,
     """Pieces of all documents, placed in sequences of `window` tokens.
 
     `shares` gives the target proportion of each source, which must be positive; by default it is the
-    source's share of all tokens, so that the queues run out together. NULL is a source of its own. A
+    source's share of all tokens, so that the queues run out together. NULL is a source of its own. With more
+    than `MOST_QUEUES` sources each is dealt by its hash to one of that many queues, whose share is that of
+    its sources together. A
     NULL or empty text has one token, its end id. Repeated rows are packed as often as they occur. An
     empty table gives no pieces. Columns: `doc_id, start, length, doc_tokens, source, sequence_id,
     offset, pad_to` and the piece's `ids` (little-endian, four bytes each).
     """
     docs = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    tokens = token_table(docs, tokenizer, end_id, queue="source")
-
-    # A queue is the rows of its source, task after task as they were written; within a task in row order.
-    by_part = tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("n"))
-    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = by_part.select("part", "source", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
-    queues = tokens.groupBy("source").agg(F.sum("n_tokens").alias("n")).orderBy("source").limit(MOST_QUEUES + 1).collect()
-    if len(queues) > MOST_QUEUES:
-        raise ValueError(f"more than {MOST_QUEUES} sources: group them into a mixture first")
+    shared = docs.select("source").distinct().limit(MOST_QUEUES + 1).count() > MOST_QUEUES
+    queue = F.pmod(F.xxhash64("source"), F.lit(MOST_QUEUES)).cast("string") if shared else F.col("source")
+    tokens = token_table(docs.withColumn("queue", queue), tokenizer, end_id, queue="queue", keep="source")
+
+    # A queue is the rows of its sources, task after task as they were written; within a task in row order.
+    by_part = tokens.groupBy("part", "queue").agg(F.sum("n_tokens").alias("n"))
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = by_part.select("part", "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("begin"))
+    queues = tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n")).orderBy("queue").collect()
     totals = np.array([q.n for q in queues], np.int64)
-    wanted = np.array([shares[q.source] if shares else q.n for q in queues], float)
+    wanted = _wanted(docs, queue, queues, shares) if shares else totals.astype(float)
     if (wanted <= 0).any():
         raise ValueError("every source needs a positive share")
-    index = {q.source: i for i, q in enumerate(queues)}
+    index = {q.queue: i for i, q in enumerate(queues)}
     total = int(totals.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(totals, wanted, window, turn)
         for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             found = []
-            doc_ids, sources = batch.column("doc_id").to_pylist(), batch.column("source").to_pylist()
-            lengths, begins = batch.column("n_tokens").to_pylist(), batch.column("begin").to_pylist()
-            for i, (source, n, begin) in enumerate(zip(sources, lengths, begins)):
-                first, length, where = schedule.place(index[source], begin, begin + n)
+            lengths, begins = np.asarray(batch.column("n_tokens")), batch.column("begin").to_pylist()
+            for i, (queue, n, begin) in enumerate(zip(batch.column("queue").to_pylist(), lengths.tolist(), begins)):
+                first, length, where = schedule.place(index[queue], begin, begin + n)
                 found.append((np.full(len(first), i), first - begin, length, where))
             row, start, length, where = (np.concatenate(x) for x in zip(*found))
-            ids = [ids_of(x.as_py(), n) for x, n in zip(batch.column("ids"), lengths)]
+            ids = expand((np.cumsum(lengths) - lengths)[row] + start, length, ids_of(batch.column("ids"), lengths)).astype("<u4")
             sequence = where // window
             last = total // window
             pad_to = np.where(sequence == last, padded_to(total - last * window, window), window)
             yield pa.RecordBatch.from_arrays([
-                pa.array([doc_ids[i] for i in row], pa.int64()), pa.array(start), pa.array(length),
-                pa.array(np.array(lengths, np.int64)[row]), pa.array([sources[i] for i in row], pa.string()),
+                batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
+                pa.array(lengths[row]), batch.column("source").take(pa.array(row)),
                 pa.array(sequence), pa.array(where % window), pa.array(pad_to.astype(np.int64)),
-                pa.array([ids[i][a:a + n].tobytes() for i, a, n in zip(row, start, length)], pa.binary()),
+                runs_of_bytes(ids, np.cumsum(length)),
             ], ["doc_id", "start", "length", "doc_tokens", "source", "sequence_id", "offset", "pad_to", "ids"])
 
-    small = sized(begins.select(F.col("part").alias("_part"), F.col("source").alias("_source"), "begin"), "queue-begins")
-    placed = tokens.join(small, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
-    return placed.select("doc_id", "source", "n_tokens", (F.col("begin") + F.col("before")).alias("begin"), "ids").mapInArrow(run, PIECES)
+    small = sized(begins.select(F.col("part").alias("_part"), F.col("queue").alias("_queue"), "begin"), "queue-begins")
+    placed = tokens.join(small, (F.col("part") == F.col("_part")) & F.col("queue").eqNullSafe(F.col("_queue")))
+    return placed.select("doc_id", "source", "queue", "n_tokens", (F.col("begin") + F.col("before")).alias("begin"), "ids").mapInArrow(run, PIECES)
+
+
+def _wanted(docs: DataFrame, queue: Column, queues: list, shares: dict[str | None, float]) -> np.ndarray:
+    """The share of each queue: the sum over its sources. A source without a positive share is an error."""
+    if min(shares.values()) <= 0:
+        raise ValueError("every source needs a positive share")
+    of_source = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in shares.items()], "_source string, share double")
+    dealt = docs.select("source", queue.alias("queue")).distinct().join(of_source, F.col("source").eqNullSafe(F.col("_source")), "left")
+    sums = {r.queue: r.share for r in dealt.groupBy("queue").agg(F.when(F.count("share") == F.count(F.lit(1)), F.sum("share")).otherwise(0.0).alias("share")).collect()}
+    return np.array([sums[q.queue] for q in queues], float)
 
 
 def piece_digests(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096) -> DataFrame:

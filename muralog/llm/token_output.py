@@ -5,8 +5,8 @@ bytes; a control byte holds the lengths of four ranks, two bits each. A document
 its data bytes are two columns, so that a reader turns control bytes into lengths with one table
 lookup and then gathers the data, with no branch per value.
 
-The files are Parquet, one per range of document ids, in ascending order; `ranks` beside them lists
-the ids by rank.
+The files are Parquet, one per range of documents, in ascending order of their ids; `ranks` beside them
+lists the ids by rank and `starts` the tokens before each file.
 """
 
 from __future__ import annotations
@@ -27,35 +27,53 @@ from muralog.sources.scratch import scratch_path, stage
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 TOKENS_PER_FILE = 1 << 22
 MOST_FILES = 20_000
+# Tokens that are coded at once.
+PART_TOKENS = 1 << 20
 
-FILE_SCHEMA = "doc_id long, start long, n_tokens long, control binary, data binary"
+FILE_SCHEMA = "doc_id long, file int, before long, n_tokens long, control binary, data binary"
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of one run of ranks."""
+def encode_ranks(ranks: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Control and data bytes of the runs of ranks that end at `ends`, all runs at once."""
     ranks = ranks.astype("<u4")
-    lengths = 1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[:len(ranks)] = lengths - 1
+    lengths = (1 + (ranks > 0xFF) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)).astype(np.uint8)
+    slots, control_ends = _slots(np.diff(ends, prepend=0))
+    padded = np.zeros(int(control_ends[-1]) * 4 if len(ends) else 0, np.uint8)
+    padded[slots] = lengths - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    kept = np.arange(4) < lengths[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[kept].tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    data_ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[ends]
+    return runs_of_bytes(control, control_ends), runs_of_bytes(data, data_ends)
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The `n` ranks that the two byte runs hold."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) < lengths[:, None]] = np.frombuffer(data, np.uint8)
+def decode_ranks(control: pa.Array, data: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ranks that runs of control and data bytes hold, `n` of each run, one run after another."""
+    lengths = LENGTHS[bytes_of(control)].reshape(-1)[_slots(n)[0]]
+    out = np.zeros((len(lengths), 4), np.uint8)
+    out[np.arange(4) < lengths[:, None]] = bytes_of(data)
     return out.reshape(-1).view("<u4")
 
 
-def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None = None) -> DataFrame:
+def _slots(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of runs lie if each run begins with a control byte of its own, and the ends of the control bytes."""
+    control_ends = np.cumsum(-(-n // 4))
+    begins = 4 * (control_ends - -(-n // 4)) - (np.cumsum(n) - n)
+    return np.repeat(begins, n) + np.arange(int(n.sum())), control_ends
+
+
+def bytes_of(runs: pa.Array) -> np.ndarray:
+    """The bytes of binary values one after another."""
+    _, offsets, data = runs.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[runs.offset:runs.offset + len(runs) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+
+
+def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None = None, keep: str | None = None) -> DataFrame:
     """Whole texts as little-endian id runs of two bytes, or four for larger vocabularies, staged once.
 
     Columns: `doc_id`, `n_tokens`, `ids`; with `queue`, the name of a string column, also that column,
-    `part` (the writing task) and `before` (tokens of the same queue that the task wrote earlier). A
-    NULL text is empty and still has its end id.
+    `part` (the writing task) and `before` (tokens of the same queue that the task wrote earlier); with
+    `keep`, that string column as it is. A NULL text is empty and still has its end id.
     """
     from tokenizers import Tokenizer
 
@@ -75,10 +93,12 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None
                         before.append(written[name])
                         written[name] += n
                     out += [rows.column(queue), pa.array(np.full(len(ends), part, np.int32)), pa.array(before, pa.int64())]
+                if keep:
+                    out.append(rows.column(keep))
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([queue] if queue else []), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, ids binary" + (f", {queue} string, part int, before long" if queue else "")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([queue] if queue else []), *([keep] if keep else []), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, n_tokens long, ids binary" + (f", {queue} string, part int, before long" if queue else "") + (f", {keep} string" if keep else "")
     names = [c.split()[0] for c in schema.split(", ")]
     return stage(columns.mapInArrow(run, schema), "tokens")
 
@@ -89,9 +109,21 @@ def runs_of_bytes(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
-def ids_of(run: bytes, n: int) -> np.ndarray:
-    """The ids of one `token_table` row."""
-    return np.frombuffer(run, f"<u{len(run) // n}").astype("<u4") if n else np.zeros(0, "<u4")
+def ids_of(runs: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The ids of `token_table` rows one after another."""
+    data, total = bytes_of(runs), int(n.sum())
+    return data.view(f"<u{len(data) // total}") if total else np.zeros(0, "<u4")
+
+
+def parts_of(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Consecutive parts of a batch with at most `PART_TOKENS` tokens each, or a single row, and their `n_tokens`."""
+    n = np.asarray(batch.column("n_tokens"))
+    ends, begin = np.cumsum(n), 0
+    while begin < len(n):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + PART_TOKENS, side="right")))
+        yield batch.slice(begin, end - begin), n[begin:end]
+        begin = end
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -100,8 +132,8 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for row_ids, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist()):
-                more = np.bincount(ids_of(row_ids.as_py(), n))
+            for rows, n in parts_of(batch):
+                more = np.bincount(ids_of(rows.column("ids"), n))
                 if len(more) > len(counts):
                     counts, more = more.astype(np.int64), counts
                 counts[:len(more)] += more
@@ -115,9 +147,9 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode every text and write the token files in ascending order of `doc_id`.
 
-    Rows with the same id follow each other in the order of their codes; NULL ids come first. An empty
-    table gives no token rows. Ids of the corpus at the driver are those of the vocabulary (`ranks`),
-    and one bound and one total per file.
+    NULL ids come first; rows with the same id follow each other by length and checksum, and may fill
+    several files. An empty table gives no token rows. Ids of the corpus at the driver are those of the
+    vocabulary (`ranks`), and one total per file (`starts`).
     """
     tokens = token_table(docs, tokenizer, end_id)
     ranked = token_counts(tokens).orderBy(F.desc("n"), "token_id").select(
@@ -129,66 +161,45 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     n_files = max(1, min(MOST_FILES, -(-total // TOKENS_PER_FILE)))
-    bounds = np.unique(np.array(tokens.agg(F.percentile_approx(
-        "doc_id", [i / n_files for i in range(1, n_files)] or [1.0], 10 * n_files + 1000)).first()[0] or [], np.int64))
-    lowest = np.iinfo(np.int64).min
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = batch.column("doc_id")
-            n = batch.column("n_tokens").to_pylist()
-            coded = [encode_ranks(rank_of[ids_of(x.as_py(), k)]) for x, k in zip(batch.column("ids"), n)]
-            files = np.searchsorted(bounds, np.asarray(ids.fill_null(lowest)), side="left")
-            yield pa.RecordBatch.from_arrays([
-                pa.array(files.astype(np.int32)), ids, batch.column("n_tokens"),
-                pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary()),
-            ], ["file", "doc_id", "n_tokens", "control", "data"])
-
-    coded = tokens.select("doc_id", "n_tokens", "ids").mapInArrow(
-        run, "file int, doc_id long, n_tokens long, control binary, data binary")
-
-    file_of = F.lit(0)
-    if len(bounds):
-        # The same placing for the totals, from the narrow columns of the staged table.
-        sizes = tokens.select("doc_id", "n_tokens").mapInArrow(
-            lambda batches: (pa.RecordBatch.from_arrays([
-                pa.array(np.searchsorted(bounds, np.asarray(b.column("doc_id").fill_null(lowest)), side="left").astype(np.int32)),
-                b.column("n_tokens")], ["file", "n_tokens"]) for b in batches), "file int, n_tokens long")
-    else:
-        sizes = tokens.select(file_of.alias("file"), "n_tokens")
-    starts = np.zeros(len(bounds) + 1, np.int64)
-    for row in sizes.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect():
-        starts[row.file] = row.n
-    starts = np.cumsum(starts) - starts
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun: dict[int, int] = {}
-        for batch in batches:
-            files, n = batch.column("file").to_pylist(), batch.column("n_tokens").to_pylist()
-            start = []
-            for f, k in zip(files, n):
-                start.append(begun.get(f, int(starts[f])))
-                begun[f] = start[-1] + k
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(start, pa.int64()), *[batch.column(c) for c in ("n_tokens", "control", "data")]],
-                                             ["doc_id", "start", "n_tokens", "control", "data"])
-
-    (coded.repartitionById(len(bounds) + 1, "file")
-     .sortWithinPartitions("file", "doc_id", "n_tokens", "control", "data")
-     .mapInArrow(place, FILE_SCHEMA)
+            for rows, n in parts_of(batch):
+                control, data = encode_ranks(rank_of[ids_of(rows.column("ids"), n)], np.cumsum(n))
+                begins = before + np.cumsum(n) - n
+                before += int(n.sum())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(n), file, np.int32)), pa.array(begins), rows.column("n_tokens"), control, data],
+                                                 ["doc_id", "file", "before", "n_tokens", "control", "data"])
+
+    # Repeated rows are told apart by where they lie, so that no id makes a file longer than others.
+    order = [F.asc_nulls_first("doc_id"), F.asc("n_tokens"), F.asc("_crc"), F.asc("_at")]
+    placed = tokens.withColumns({"_crc": F.crc32("ids"), "_at": F.monotonically_increasing_id()}).repartitionByRange(n_files, *order)
+    (placed.sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids").mapInArrow(run, FILE_SCHEMA)
      .write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/tokens"))
 
+    spark = docs.sparkSession
+    totals = sorted(spark.read.schema(FILE_SCHEMA).parquet(f"{path}/tokens").groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())
+    starts = np.cumsum([0, *[r.n for r in totals]]).tolist()
+    spark.createDataFrame([(r.file, start) for r, start in zip(totals, starts)], "file int, start long").coalesce(1).write.mode(
+        "overwrite").parquet(f"{path}/starts")
+
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The files as `doc_id`, `start`, `n_tokens`, `ids` (little-endian, four bytes per id)."""
     ids_by_rank = _ids_by_rank(spark, path)
+    starts = dict(spark.read.schema("file int, start long").parquet(f"{path}/starts").collect())
+    start_of = np.zeros(max(starts, default=0) + 1, np.int64)
+    for file, start in starts.items():
+        start_of[file] = start
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.column("n_tokens").to_pylist()
-            ids = [ids_by_rank[decode_ranks(c.as_py(), d.as_py(), k)].astype("<u4").tobytes()
-                   for c, d, k in zip(batch.column("control"), batch.column("data"), n)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "n_tokens")], pa.array(ids, pa.binary())],
-                                             ["doc_id", "start", "n_tokens", "ids"])
+            for rows, n in parts_of(batch):
+                ids = ids_by_rank[decode_ranks(rows.column("control"), rows.column("data"), n)].astype("<u4")
+                start = start_of[np.asarray(rows.column("file"))] + np.asarray(rows.column("before"))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(start), rows.column("n_tokens"), runs_of_bytes(ids, np.cumsum(n))],
+                                                 ["doc_id", "start", "n_tokens", "ids"])
 
     return spark.read.schema(FILE_SCHEMA).parquet(f"{path}/tokens").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary")

@@ -15,8 +15,9 @@ SLICE_BYTES = 8 << 20
 # Letters that are their own lower case and composed form.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
-# A memo that has met more distinct words than this starts anew; results do not depend on it.
+# What a memo holds at most, in words and in numbers; results do not depend on it.
 MEMO_WORDS = 400_000
+MEMO_NUMBERS = 16_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,37 +37,54 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         begin = end
 
 
+class _Runs:
+    """A run of numbers for each of some words."""
+
+    def __init__(self, dtype) -> None:
+        self.slot: dict[str, int] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, dtype)
+
+    def add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, flat])
+
+
 class Memo:
-    """Values of distinct words, computed once per worker: each word has a run of numbers."""
+    """Values of distinct words, computed once per worker as long as they stay in use: each word has a run of numbers.
 
-    def __init__(self, values: Callable[[list[str]], list], dtype) -> None:
-        self._values, self._dtype = values, dtype
-        self._clear()
+    Half of what is held is new; when it is full it becomes the old half, from which words that come again
+    are taken over. Words that come again within that time, so all frequent ones, are never computed anew.
+    """
 
-    def _clear(self) -> None:
-        self._slot: dict[str, int] = {}
-        self._starts = np.zeros(0, np.int64)
-        self._lengths = np.zeros(0, np.int64)
-        self._flat = np.zeros(0, self._dtype)
+    def __init__(self, values: Callable[[list[str]], list], dtype, most_numbers: int = MEMO_NUMBERS) -> None:
+        self._values, self._dtype, self._most = values, dtype, most_numbers
+        self._new, self._old = _Runs(dtype), _Runs(dtype)
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each word's run, and the numbers the runs point into."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self._slot) + len(distinct) > MEMO_WORDS:
-            self._clear()
-        found = list(map(self._slot.get, distinct))
-        new = [w for w, slot in zip(distinct, found) if slot is None]
-        if new:
-            runs = self._values(new)
-            self._slot.update(zip(new, range(len(self._slot), len(self._slot) + len(new))))
-            lengths = np.fromiter(map(len, runs), np.int64, len(runs))
-            self._starts = np.concatenate([self._starts, len(self._flat) + np.cumsum(lengths) - lengths])
-            self._lengths = np.concatenate([self._lengths, lengths])
-            self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(runs), self._dtype)])
-            found = list(map(self._slot.get, distinct))
+        if len(self._new.slot) + len(distinct) > MEMO_WORDS // 2 or len(self._new.flat) > self._most // 2:
+            self._new, self._old = _Runs(self._dtype), self._new
+        new, old = self._new, self._old
+        found = list(map(new.slot.get, distinct))
+        missing = [w for w, slot in zip(distinct, found) if slot is None]
+        if missing:
+            before = list(map(old.slot.get, missing))
+            known = [slot for slot in before if slot is not None]
+            if known:
+                known = np.array(known)
+                new.add([w for w, slot in zip(missing, before) if slot is not None], old.lengths[known], expand(old.starts[known], old.lengths[known], old.flat))
+            unknown = [w for w, slot in zip(missing, before) if slot is None]
+            runs = self._values(unknown) if unknown else []
+            new.add(unknown, np.fromiter(map(len, runs), np.int64, len(runs)), np.fromiter(chain.from_iterable(runs), self._dtype))
+            found = list(map(new.slot.get, distinct))
         slots = np.asarray(found, np.int64)[np.asarray(coded.indices)]
-        return self._starts[slots], self._lengths[slots], self._flat
+        return new.starts[slots], new.lengths[slots], new.flat
 
 
 def expand(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:

@@ -42,11 +42,28 @@ def test_a_vocabulary_that_merges_over_blanks_gets_whole_texts():
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=30))
-def test_codes_round_trip(ranks):
-    control, data = token_output.encode_ranks(np.array(ranks, np.uint32))
-    assert len(control) == -(-len(ranks) // 4)
-    assert token_output.decode_ranks(control, data, len(ranks)).tolist() == ranks
+@given(st.lists(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=30), max_size=6))
+def test_codes_round_trip(runs):
+    n = np.array([len(r) for r in runs], np.int64)
+    ranks = [x for r in runs for x in r]
+    control, data = token_output.encode_ranks(np.array(ranks, np.uint32), np.cumsum(n))
+    assert [len(c.as_py()) for c in control] == [-(-k // 4) for k in n]
+    assert [len(d.as_py()) for d in data] == [sum(max(1, -(-x.bit_length() // 8)) for x in r) for r in runs]
+    assert token_output.decode_ranks(control, data, n).tolist() == ranks
+    assert token_output.decode_ranks(control[1:], data[1:], n[1:]).tolist() == [x for r in runs[1:] for x in r]
+
+
+def test_memo_keeps_what_comes_again(monkeypatch):
+    """Words in use are computed once, however many others pass by; what is held is bounded."""
+    monkeypatch.setattr(words, "MEMO_WORDS", 60)
+    computed = []
+    memo = words.Memo(lambda ws: computed.extend(ws) or [[len(w), *w.encode()] for w in ws], np.uint32)
+    for i in range(40):
+        batch = ["always", f"word{i}", f"other{i}", "always", f"word{i - 1}"]
+        starts, lengths, flat = memo.lookup(pa.array(batch, pa.large_string()))
+        assert words.expand(starts, lengths, flat).tolist() == [x for w in batch for x in (len(w), *w.encode())]
+        assert len(memo._new.slot) <= 30 and len(memo._old.slot) <= 30
+    assert computed.count("always") == 1 and len(computed) < 90
 
 
 def test_files_hold_every_text_in_order(spark, docs_of, odd_rows):
@@ -71,6 +88,21 @@ def test_several_files_are_in_order(spark, docs_of, monkeypatch, tmp_path):
     assert [r.start for r in got] == np.cumsum([0, *[len(ids[i]) for i in range(100)]]).tolist()
 
 
+def test_a_hot_id_fills_several_files(spark, docs_of, monkeypatch, tmp_path):
+    """One id holds a third of the rows, a sixth have none, and a text repeats: no file is much longer than others."""
+    monkeypatch.setattr(token_output, "TOKENS_PER_FILE", 400)
+    rows = [(50 if i % 3 == 0 else None if i % 6 == 1 else i, "one text for all" if i % 2 else f"text number {i} of many") for i in range(600)]
+    token_output.write_tokens(docs_of(rows).repartition(4), str(tmp_path), TOKENIZER, END_ID)
+    got = token_output.read_tokens(spark, str(tmp_path)).collect()
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    want = sorted(x.tobytes() for x in whole_text_ids([r[1] for r in rows]))
+    assert sorted(r.ids for r in got) == want
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/tokens").groupBy("file").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 150
+
+
 def test_no_documents(no_docs):
     assert token_output.token_digests(no_docs, TOKENIZER, END_ID).count() == 0
     assert packing.pack(no_docs, TOKENIZER, END_ID).count() == 0
@@ -132,6 +164,41 @@ def test_windows_follow_the_mixture(docs_of, shares):
             assert abs(held[window, source] - 256 * want[source]) <= 4 * 16
 
 
+def test_more_sources_than_queues(docs_of, monkeypatch):
+    """Sources share queues by their hash; every document is packed under its own source."""
+    monkeypatch.setattr(packing, "MOST_QUEUES", 7)
+    rows = [(i, "tokens of text " * (1 + i % 5), "en", None if i % 40 == 0 else f"host{i % 40}") for i in range(300)]
+    pieces = packing.pack(docs_of(rows).repartition(3), TOKENIZER, END_ID, window=128, turn=16).collect()
+    check_pieces(rows, pieces, 128)
+    assert {(p.doc_id, p.source) for p in pieces} == {(r[0], r[3]) for r in rows}
+    shares = {r[3]: 1.0 + (r[0] % 3) for r in rows}
+    check_pieces(rows, packing.pack(docs_of(rows), TOKENIZER, END_ID, window=128, turn=16, shares=shares).collect(), 128)
+
+
+def test_queries(spark, sf_dir):
+    """op1 and op2 over whole tables against whole texts."""
+    from muralog.llm.queries import op1_token_output, op2_mixture_packing
+
+    sf_dir = sf_dir.replace("sf0.01", "sf0.001")
+    rows = sorted((tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()), key=lambda r: r[0])
+    ids = whole_text_ids([r[1] for r in rows])
+    starts = np.cumsum([0, *map(len, ids)])
+    want = [(r[0], int(s), len(x), zlib.crc32(x.tobytes())) for r, s, x in zip(rows, starts, ids)]
+    assert sorted(tuple(r)[:4] for r in op1_token_output(spark, sf_dir).collect()) == want
+    whole = dict(zip([r[0] for r in rows], ids))
+    pieces = op2_mixture_packing(spark, sf_dir).collect()
+    found, places = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(whole[p.doc_id][p.start:p.start + p.length].tobytes()) and p.doc_tokens == len(whole[p.doc_id])
+        found[p.doc_id].append((p.start, p.length))
+        places[p.sequence_id].append((p.offset, p.length))
+    for runs, ends in ((found, {i: len(x) for i, x in whole.items()}), (places, {k: min(4096, starts[-1] - 4096 * k) for k in range(-(-int(starts[-1]) // 4096))})):
+        assert set(runs) == set(ends)
+        for key, parts in runs.items():
+            parts.sort()
+            assert [a for a, _ in parts] == np.cumsum([0, *[n for _, n in parts[:-1]]]).tolist() and sum(n for _, n in parts) == ends[key]
+
+
 def test_a_source_without_share_is_refused(docs_of):
     with pytest.raises(ValueError):
         packing.pack(docs_of([(1, "x", "en", "a"), (2, "y", "en", "b")]), TOKENIZER, END_ID, shares={"a": 1.0, "b": 0.0})
