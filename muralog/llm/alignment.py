@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -28,22 +27,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muralog.llm.token_output import runs_of_bytes
-from muralog.llm.words import Memo, expand, slices, sums
+from muralog.llm.words import Memo, expand, joined, slices, sums
 from muralog.sources.scratch import broadcast_if_small, stage
 
 # Texts beyond so many bytes are cut at blanks and tokenized in pieces by several tasks.
 PIECE_BYTES = 1 << 18
 # The byte ranges whose fragments are composed.
-CHUNK_BYTES = 1 << 14
+CHUNK_BYTES = 1 << 15
 FAN = 16
 # Counts of so many id pairs go to every task; links of rarer pairs find theirs through a join.
 HEAD_PAIRS = 2_000_000
 # A task hands on its counts when it holds this many.
 HELD_PAIRS = 1_000_000
 
-BLANK = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+BLANKS = r"\s\x0b\x1c-\x1f\x{85}\pZ"
+# Marks of parts of words that don't begin with a blank: a comma or full stop behind a letter, and what follows a line's end.
+STOP, LINE = "\ue000", "\ue001"
 # Texts in which every blank stands alone between other characters are the sum of their words.
-NOT_BY_WORD = f"^ | $|{BLANK} | {BLANK}"
+NOT_BY_WORD = f"^ | $|[{BLANKS}] | [{BLANKS}]|[{STOP}{LINE}]"
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+PLAIN = "".join(map(chr, [*range(33, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+IS_PLAIN = re.compile(f"[{re.escape(PLAIN)}]+").fullmatch
 ALONE = re.compile(r"(?<=\S) (?=\S)")
 
 PARTS = "row long, doc_id long, valid boolean, at long, n_a long, n_b long, n_groups long, n_links long, sha string, groups binary, links binary"
@@ -98,21 +102,50 @@ class Pair:
         self.bytes_a = np.array([len(x) for x in self.vocabulary.a])
         self.bytes_b = np.array([len(x) for x in self.vocabulary.b])
         self._memo = Memo(self._runs, np.uint32)
-        # A piece that went on after a blank within it would join words.
+        # A piece that went on after a blank within it would join words, one with a letter and a stop or a line's end parts of words.
         self._by_word = not any(b" " in x.lstrip(b" ") for x in self.vocabulary.b)
+        stop = re.compile(f"{LETTER}[.,]")
+        self._stops = not any(stop.search(x.decode(errors="replace")) or len(x) > 1 and b"\n" in x for x in self.vocabulary.b)
+        # Words of characters that are spelled by themselves need not be compared byte for byte.
+        self._plain = all(self._spelled(*self._whole(f"x{c}{c}x")) == f" x{c}{c}x".encode() for c in PLAIN)
         # Decimal ids followed by nothing or one of the marks, for one lookup per token.
         n = max(len(self.bytes_a), len(self.bytes_b))
         self.written = pa.array([f"{i}{mark}" for mark in ("", ",", "|", ";") for i in range(n)], pa.large_string())
         self.n_written = n
 
-    def _runs(self, texts: list[str]) -> list[list[int]]:
-        """For each text: the number of ids of the first, whether both spell it, and the ids of both."""
-        out = []
-        for text, first, second in zip(texts, self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self._b.encode(texts, num_threads=1)):
-            ids, whole = first.ids, f" {text}".encode()
-            good = b"".join([self.vocabulary.a[i] for i in ids]) == whole == b"".join([self.vocabulary.b[i] for i in second])
-            out.append([len(ids), good, *ids, *second])
-        return out
+    def _whole(self, text: str) -> tuple[list[int], list[int]]:
+        return self._a.encode(f" {text}", add_special_tokens=False).ids, self._b.encode(text)
+
+    def _spelled(self, first: list[int], second: list[int]) -> bytes | None:
+        """The bytes that both runs of ids spell; None if they differ."""
+        spelled = b"".join([self.vocabulary.a[i] for i in first])
+        return spelled if spelled == b"".join([self.vocabulary.b[i] for i in second]) else None
+
+    def _runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word, or marked part of one: the number of ids of the first, whether both spell it, and the ids of both."""
+        plain = [self._plain and IS_PLAIN(w) is not None for w in words]
+        texts = [w if p else w.replace(LINE, "\n") for w, p in zip(words, plain)]
+        parts = [i for i, (w, p) in enumerate(zip(words, plain)) if not p and w[:1] in (STOP, LINE)]
+        asked = [f" {t}" for t in texts]
+        for i in parts:
+            asked[i] = texts[i][texts[i][0] == STOP:]
+        first = [x.ids for x in self._a.encode_batch_fast(asked, add_special_tokens=False)]
+        # Behind the letter that stands in for the one before a stop, or the blank that is added before a line's end.
+        for i in parts:
+            texts[i] = texts[i].replace(STOP, "x")
+        second = self._b.encode(texts, num_threads=1)
+        for i in parts:
+            second[i] = second[i][1:]
+        good = np.array([p or self._spelled(x, y) == t.encode() for p, x, y, t in zip(plain, first, second, asked)])
+        n_a, ids_a = joined(first, np.uint32)
+        n_b, ids_b = joined(second, np.uint32)
+        lengths = 2 + n_a + n_b
+        begins = np.cumsum(lengths) - lengths
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        flat[begins], flat[begins + 1] = n_a, good
+        flat[np.repeat(begins + 2 - (np.cumsum(n_a) - n_a), n_a) + np.arange(len(ids_a))] = ids_a
+        flat[np.repeat(begins + 2 + n_a - (np.cumsum(n_b) - n_b), n_b) + np.arange(len(ids_b))] = ids_b
+        return lengths, flat
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, ...]]:
         """`(ids_a, n_a, ids_b, n_b, valid)` of the texts; an invalid or empty text has no ids and is not valid."""
@@ -120,23 +153,26 @@ class Pair:
         if not self._by_word or pc.any(whole).as_py():
             # Texts that can't be put together from words are encoded one by one.
             whole = np.asarray(whole) | (not self._by_word)
-            parts = [self._joined([self._runs([t])[0]]) if w and t else self._words(pa.array([t], pa.large_string())) for t, w in zip(texts.to_pylist(), whole)]
+            parts = [self._of_text(t) if w and t else self._words(pa.array([t], pa.large_string())) for t, w in zip(texts.to_pylist(), whole)]
             return tuple(np.concatenate(x) for x in zip(*parts))
         return self._words(texts)
 
-    @staticmethod
-    def _joined(runs: list[list[int]]) -> tuple[np.ndarray, ...]:
-        (n_a, good, *ids), = runs
-        kept = ids if good else []
-        n_a = n_a if good else 0
-        return (np.array(kept[:n_a], np.int64), np.array([n_a]), np.array(kept[n_a:], np.int64), np.array([len(kept) - n_a]), np.array([bool(good)]))
+    def _of_text(self, text: str) -> tuple[np.ndarray, ...]:
+        first, second = self._whole(text)
+        if self._spelled(first, second) != f" {text}".encode():
+            first, second = [], []
+        return (np.array(first, np.int64), np.array([len(first)]), np.array(second, np.int64), np.array([len(second)]), np.array([bool(first)]))
 
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        valid = np.asarray(pc.binary_length(texts)) > 0
+        if self._stops:
+            texts = pc.replace_substring_regex(texts, f"([^{BLANKS}])\n([^{BLANKS}])", rf"\1 {LINE}\2")
+            texts = pc.replace_substring_regex(texts, f"({LETTER})([.,]) ", rf"\1 {STOP}\2 ")
         words = pc.split_pattern(texts, " ")
         starts, lengths, flat = self._memo.lookup(words.flatten())
         ends = np.cumsum(np.asarray(pc.list_value_length(words)), dtype=np.int64)
         n_a, good = flat[starts].astype(np.int64), flat[starts + 1]
-        valid = (sums(1 - good.astype(np.int64), ends) == 0) & (np.asarray(pc.binary_length(texts)) > 0)
+        valid &= sums(1 - good.astype(np.int64), ends) == 0
         held = np.repeat(valid, np.diff(ends, prepend=0))
         n_a, n_b = np.where(held, n_a, 0), np.where(held, lengths - 2 - n_a, 0)
         return (expand(starts + 2, n_a, flat).astype(np.int64), sums(n_a, ends), expand(starts + 2 + flat[starts], n_b, flat).astype(np.int64), sums(n_b, ends), valid)
@@ -199,41 +235,54 @@ def compose(left: Fragment, right: Fragment) -> tuple[Fragment, list[Closed]]:
     return Fragment(True, left.prefix_a, left.prefix_b, right.suffix_from, right.suffix_a, right.suffix_b), [between]
 
 
-def overlaps(a: Tokens, b: Tokens, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ends of the linked byte ranges, each link as one number `id_a * n_b + id_b`, and the common ends.
+@dataclass
+class Overlay:
+    """Two runs of tokens over the same bytes, laid on each other. Both end at the same byte."""
 
-    Between two neighbouring ends of either kind lies one range of bytes, which is one link.
-    """
-    ends = np.sort(np.concatenate([a.ends, b.ends]), kind="stable")
-    new = np.ones(len(ends), bool)
-    new[1:] = ends[1:] != ends[:-1]
-    common = ends[~new]
-    ends = ends[new]
-    links = a.ids[np.searchsorted(a.ends, ends)] * n_b + b.ids[np.searchsorted(b.ends, ends)]
-    return ends, links, common
-
-
-def written_groups(a: Tokens, b: Tokens, common: np.ndarray, last_of_text: np.ndarray, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
-    """The groups as `a1,a2|b1;a3|b2,b3`, and where each of them ends in it; no mark after the groups `last_of_text`."""
-    of_a, of_b = np.searchsorted(common, a.ends), np.searchsorted(common, b.ends)
-    upto_a, upto_b = np.searchsorted(a.ends, common, side="right"), np.searchsorted(b.ends, common, side="right")
-    marks_a, marks_b = np.ones(len(a.ids), np.int64), np.ones(len(b.ids), np.int64)
-    marks_a[upto_a - 1], marks_b[upto_b - 1] = 2, np.where(last_of_text, 0, 3)
-    codes = np.empty(len(a.ids) + len(b.ids), np.int64)
-    codes[np.arange(len(a.ids)) + np.concatenate([[0], upto_b])[of_a]] = marks_a * pair.n_written + a.ids
-    codes[np.arange(len(b.ids)) + upto_a[of_b]] = marks_b * pair.n_written + b.ids
-    text = pair.written.take(pa.array(codes))
-    _, offsets, data = text.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[:len(codes) + 1]
-    return np.frombuffer(data, np.uint8)[:offsets[-1]] if data else np.zeros(0, np.uint8), offsets[upto_a + upto_b]
+    ends: np.ndarray    # of the byte ranges between neighbouring ends of either kind: each is one link
+    of_a: np.ndarray    # the tokens of each range
+    of_b: np.ndarray
+    common: np.ndarray  # where both end, that is, the ends of the groups
+    upto_a: np.ndarray  # tokens up to each group's end
+    upto_b: np.ndarray
+
+    @classmethod
+    def of(cls, a: Tokens, b: Tokens) -> Overlay:
+        keys = np.sort(np.concatenate([2 * a.ends, 2 * b.ends + 1]), kind="stable")
+        ends, is_b = keys >> 1, keys & 1
+        upto_b = np.cumsum(is_b)
+        upto_a = np.arange(1, len(keys) + 1) - upto_b
+        new = np.ones(len(keys), bool)
+        new[1:] = ends[1:] != ends[:-1]
+        first, both = np.flatnonzero(new), np.flatnonzero(~new)
+        return cls(ends[first], (upto_a - (1 - is_b))[first], (upto_b - is_b)[first], ends[both], upto_a[both], upto_b[both])
+
+    def links(self, a: Tokens, b: Tokens, n_b: int) -> np.ndarray:
+        """Each link as one number, `id_a * n_b + id_b`."""
+        return a.ids[self.of_a] * n_b + b.ids[self.of_b]
+
+    def written(self, a: Tokens, b: Tokens, last_of_text: np.ndarray, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as `a1,a2|b1;a3|b2,b3`, and where each of them ends in it; no mark after the groups `last_of_text`."""
+        marks_a, marks_b = np.ones(len(a.ids), np.int64), np.ones(len(b.ids), np.int64)
+        marks_a[self.upto_a - 1], marks_b[self.upto_b - 1] = 2, np.where(last_of_text, 0, 3)
+        codes = np.empty(len(a.ids) + len(b.ids), np.int64)
+        # Before a token of the first kind lie the other kind's tokens of earlier groups, before one of the second kind all of the group's first kind.
+        before_a, before_b = np.concatenate([[0], self.upto_b])[:-1], self.upto_a
+        codes[np.arange(len(a.ids)) + np.repeat(before_a, np.diff(self.upto_a, prepend=0))] = marks_a * pair.n_written + a.ids
+        codes[np.arange(len(b.ids)) + np.repeat(before_b, np.diff(self.upto_b, prepend=0))] = marks_b * pair.n_written + b.ids
+        text = pair.written.take(pa.array(codes))
+        _, offsets, data = text.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[:len(codes) + 1]
+        return np.frombuffer(data, np.uint8)[:offsets[-1]] if data else np.zeros(0, np.uint8), offsets[self.upto_a + self.upto_b]
 
 
 def _closed_rows(closed: list[Closed], row: int, doc_id: int | None, pair: Pair) -> list[tuple]:
     out = []
     for c in closed:
-        _, links, common = overlaps(c.a, c.b, len(pair.bytes_b))
-        text, _ = written_groups(c.a, c.b, common, np.arange(len(common)) == len(common) - 1, pair)
-        out.append((row, doc_id, True, c.at, 0, 0, len(common), len(links), None, text.tobytes(), links.astype("<u4").tobytes()))
+        over = Overlay.of(c.a, c.b)
+        links = over.links(c.a, c.b, len(pair.bytes_b))
+        text, _ = over.written(c.a, c.b, np.arange(len(over.common)) == len(over.common) - 1, pair)
+        out.append((row, doc_id, True, c.at, 0, 0, len(over.common), len(links), None, text.tobytes(), links.astype("<u4").tobytes()))
     return out
 
 
@@ -242,9 +291,9 @@ def _open_row(f: Fragment) -> tuple:
             f.suffix_from, f.suffix_a.ids.tolist(), f.suffix_a.ends.tolist(), f.suffix_b.ids.tolist(), f.suffix_b.ends.tolist())
 
 
-def _open_of(r) -> Fragment:
-    t = lambda ids, ends: Tokens(np.array(ids, np.int64), np.array(ends, np.int64))
-    return Fragment(bool(r.closes), t(r.prefix_a, r.prefix_a_end), t(r.prefix_b, r.prefix_b_end), int(r.suffix_from), t(r.suffix_a, r.suffix_a_end), t(r.suffix_b, r.suffix_b_end))
+def _open_of(r: dict) -> Fragment:
+    t = lambda name: Tokens(np.array(r[name], np.int64), np.array(r[f"{name}_end"], np.int64))
+    return Fragment(r["closes"], t("prefix_a"), t("prefix_b"), r["suffix_from"], t("suffix_a"), t("suffix_b"))
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -266,7 +315,7 @@ def parts(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int, piece
         pair = Pair.of(byte_level, pieces)
         done = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for rows in slices(batch, limit=1 << 20):
+            for rows in slices(batch, limit=1 << 21):
                 texts = rows.column("text")
                 ids_a, n_a, ids_b, n_b, valid = pair.encode(texts)
                 n_bytes = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
@@ -324,10 +373,12 @@ def _whole(pair: Pair, keys, doc_ids, valid, n_bytes, rows, ids_a, n_a, ids_b, n
     mine[rows] = True
     held = np.where(valid & mine, n_bytes, 0)
     a, b = (Tokens(ids[np.repeat(mine, n)], np.cumsum(size[ids[np.repeat(mine, n)]])) for ids, n, size in ((ids_a, n_a, pair.bytes_a), (ids_b, n_b, pair.bytes_b)))
-    ends, links, common = overlaps(a, b, len(pair.bytes_b))
-    text_ends = np.cumsum(held)
-    upto_links, upto_groups = np.searchsorted(ends, text_ends, side="right"), np.searchsorted(common, text_ends, side="right")
-    text, group_ends = written_groups(a, b, common, np.isin(common, text_ends), pair)
+    over = Overlay.of(a, b)
+    links, text_ends = over.links(a, b, len(pair.bytes_b)), np.cumsum(held)
+    upto_links, upto_groups = np.searchsorted(over.ends, text_ends, side="right"), np.searchsorted(over.common, text_ends, side="right")
+    last = np.zeros(len(over.common), bool)
+    last[upto_groups[held > 0] - 1] = True
+    text, group_ends = over.written(a, b, last, pair)
     stops = np.concatenate([[0], group_ends])[upto_groups]
     view = memoryview(np.ascontiguousarray(text))
     begins = np.concatenate([[0], stops[:-1]]) if len(stops) else stops
@@ -344,33 +395,40 @@ def _whole(pair: Pair, keys, doc_ids, valid, n_bytes, rows, ids_a, n_a, ids_b, n
 
 def reduced(fragments: DataFrame, byte_level: str, pieces: str, chunk_bytes: int) -> DataFrame:
     """The closed groups (`PARTS`) between the fragments of each text, by a tree of compositions."""
-    schema = f"{PARTS}, {OPEN}"
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema, no_open = _schema(f"{PARTS}, {OPEN}"), (None,) * len(OPEN.split(", "))
     closed, level = None, fragments
     reach = (fragments.agg(F.max("at")).first()[0] or 0) // chunk_bytes
     width = 1
 
     def compose_all(last: bool):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            pair, group = Pair.of(byte_level, pieces), group.sort_values("at")
-            row, doc_id = int(group["row"].iloc[0]), group["doc_id"].iloc[0]
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            whole, found = None, []
-            for r in group.itertuples():
-                whole, more = compose(whole, _open_of(r)) if whole else (_open_of(r), [])
-                found += more
-            if last:  # the text's own ends close what is left
-                found += [Closed(0, whole.prefix_a, whole.prefix_b)]
-            out = [(*r, *(None,) * len(OPEN.split(", "))) for r in _closed_rows(found, row, doc_id, pair)]
-            if not last:
-                out.append((row, doc_id, True, int(group["at"].iloc[0]), 0, 0, 0, 0, None, None, None, *_open_row(whole)))
-            return pd.DataFrame(out, columns=names)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pair, at, whole, head, found = Pair.of(byte_level, pieces), None, None, None, []
+
+            def done() -> list[tuple]:
+                if last:  # the text's own ends close what is left
+                    found.append(Closed(0, whole.prefix_a, whole.prefix_b))
+                out = [(*r, *no_open) for r in _closed_rows(found, *head[:2], pair)]
+                return out if last else [*out, (*head[:2], True, head[2], 0, 0, 0, 0, None, None, None, *_open_row(whole))]
+
+            for batch in batches:
+                out = []
+                for r in batch.to_pylist():
+                    if (r["row"], r["_range"]) != at:
+                        out += done() if whole else []
+                        at, head, whole, found = (r["row"], r["_range"]), (r["row"], r["doc_id"], r["at"]), _open_of(r), []
+                    else:
+                        whole, more = compose(whole, _open_of(r))
+                        found += more
+                yield _rows(out, schema)
+            yield _rows(done() if whole else [], schema)
         return run
 
+    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         width *= FAN
         last = reach < width
-        level = stage(level.groupBy("row", F.floor(F.col("at") / (chunk_bytes * width)).alias("_range")).applyInPandas(compose_all(last), schema), "fragments")
+        ranges = level.withColumn("_range", F.floor(F.col("at") / (chunk_bytes * width)))
+        level = stage(ranges.repartition(n, "row", "_range").sortWithinPartitions("row", "_range", "at").mapInArrow(compose_all(last), f"{PARTS}, {OPEN}"), "fragments")
         here = level.where("closes is null").select(*[c.split()[0] for c in PARTS.split(", ")])
         closed = here if closed is None else closed.unionByName(here)
         if last:

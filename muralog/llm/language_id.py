@@ -25,8 +25,6 @@ from muralog.llm.words import Memo, slices
 DEPTH = 3
 # Documents per language, about, that the trees are grown from: chosen by a hash of the id.
 TRAIN_DOCS = 4000
-# A sequence of bytes seen less often than this in the sample is left out of the tree.
-LEAST_SEEN = 2
 UNKNOWN = "und"
 
 
@@ -154,7 +152,7 @@ class Speller:
 
     def __init__(self, trees: Trees) -> None:
         self._width = len(trees.languages)
-        self._memo = Memo(lambda words: list(trees.code_lengths(words).astype(np.float32)), np.float32)
+        self._memo = Memo(lambda words: (np.full(len(words), self._width), trees.code_lengths(words).ravel()), np.float64)
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Code length of each text by language."""
@@ -181,7 +179,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Trees | None:
         return None
     share = F.create_map(*[x for r in sizes for x in (F.lit(r.lang), F.lit(min(1.0, train_docs / r.n)))])
     chosen = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * float(1 << 40)
-    rows = sequence_counts(known.where(chosen)).where(F.col("n") >= LEAST_SEEN).toArrow()
+    rows = sequence_counts(known.where(chosen)).toArrow()
     languages = [r.lang for r in sizes]
     keys, at = np.unique(np.asarray(rows.column("key")), return_inverse=True)
     if not len(keys):

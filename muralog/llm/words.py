@@ -56,11 +56,13 @@ class _Runs:
 class Memo:
     """Values of distinct words, computed once per worker as long as they stay in use: each word has a run of numbers.
 
+    `values` gives the lengths of the runs of some words and the runs one after another.
+
     Half of what is held is new; when it is full it becomes the old half, from which words that come again
     are taken over. Words that come again within that time, so all frequent ones, are never computed anew.
     """
 
-    def __init__(self, values: Callable[[list[str]], list], dtype, most_numbers: int = MEMO_NUMBERS) -> None:
+    def __init__(self, values: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype, most_numbers: int = MEMO_NUMBERS) -> None:
         self._values, self._dtype, self._most = values, dtype, most_numbers
         self._new, self._old = _Runs(dtype), _Runs(dtype)
 
@@ -80,13 +82,18 @@ class Memo:
                 known = np.array(known)
                 new.add([w for w, slot in zip(missing, before) if slot is not None], old.lengths[known], expand(old.starts[known], old.lengths[known], old.flat))
             unknown = [w for w, slot in zip(missing, before) if slot is None]
-            runs = self._values(unknown) if unknown else []
-            new.add(unknown, np.fromiter(map(len, runs), np.int64, len(runs)), np.fromiter(chain.from_iterable(runs), self._dtype))
+            if unknown:
+                new.add(unknown, *self._values(unknown))
             found = list(map(new.slot.get, distinct))
         slots = np.asarray(found, np.int64)[np.asarray(coded.indices)]
         return new.starts[slots], new.lengths[slots], new.flat
 
 
+def joined(runs: list[list[int]], dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the runs, and the runs one after another."""
+    return np.fromiter(map(len, runs), np.int64, len(runs)), np.fromiter(chain.from_iterable(runs), dtype)
+
+
 def expand(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The runs one after another."""
     shift = starts - (np.cumsum(lengths) - lengths)
@@ -141,12 +148,12 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _of_words(self, words: list[str]) -> list[list[int]]:
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of plain lower-case letters go to the vocabulary's merges directly."""
         plain = [self._letters and PLAIN(w) is not None for w in words]
         merge, letters = self._tokenizer.model.tokenize, self._letters
         rest = iter(self._tokenizer.encode_batch_fast([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
-        return [[t.id for t in merge(w.translate(letters))] if p else next(rest).ids for w, p in zip(words, plain)]
+        return joined([[t.id for t in merge(w.translate(letters))] if p else next(rest).ids for w, p in zip(words, plain)], np.uint32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, with the end id after each text, and where each text's ids end."""

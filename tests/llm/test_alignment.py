@@ -97,7 +97,7 @@ def rows_of(df):
 
 
 NASTY = ["<|endoftext|> </s> <unk> <0x41>", "a ▁ b▁c", "double  blank", " begins", "ends ", "tab\tand\r\nline\n\nend", "no break   x", "日本語 テキスト 漢字", "👩‍👩‍👧 é é ﬁ ＡＢ",
-         "x" * 300, "\x00\x01 \x1c y", "it's they'll we've 'S", "1234567 89 000", "der　 ​ein", "▁", " ", "\n"]
+         "x" * 300, "\x00\x01 \x1c y", "it's they'll we've 'S", "1234567 89 000", "der　 ​ein", "▁", " ", "\n", "\nfirst line, and. more\nof it\n", "a\nb\nc, d. e,f.g\nÉté, ×, ÷. über.", "\ue000, \ue001"]
 
 
 @pytest.mark.parametrize("chunk, piece, head", [(1 << 14, 1 << 18, 2_000_000), (16, 1 << 18, 2_000_000), (5, 40, 50), (1, 10, 0)])

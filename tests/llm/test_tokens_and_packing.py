@@ -57,7 +57,7 @@ def test_memo_keeps_what_comes_again(monkeypatch):
     """Words in use are computed once, however many others pass by; what is held is bounded."""
     monkeypatch.setattr(words, "MEMO_WORDS", 60)
     computed = []
-    memo = words.Memo(lambda ws: computed.extend(ws) or [[len(w), *w.encode()] for w in ws], np.uint32)
+    memo = words.Memo(lambda ws: computed.extend(ws) or words.joined([[len(w), *w.encode()] for w in ws], np.uint32), np.uint32)
     for i in range(40):
         batch = ["always", f"word{i}", f"other{i}", "always", f"word{i - 1}"]
         starts, lengths, flat = memo.lookup(pa.array(batch, pa.large_string()))
