@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixture as fx
-from muralog.operators import (activity, baseline, charts, churn, diversity, evaluation, features, folds, intervals, model,
-                               newcomers, sampling, sessions)
+from muralog.functions.clock import within
+from muralog.operators import (activity, baseline, charts, churn, diversity, evaluation, features, folds, heavy, intervals, model,
+                               newcomers, rollups, sampling, sessions, spikes, tiles)
 from muralog.plans import survival
 from muralog.sources import upkeep
 from muralog.sources.placements import read_placements, write_placements
@@ -521,7 +522,7 @@ def neighbors_before(df):
 
 @query
 def neighborhood_profile(df):
-    return intervals.neighborhood_profile(df, _asked(df), fx.GRID, fx.LOOKBACK_MINUTES)
+    return intervals.neighborhood_profile(df, _asked(df), fx.GRID, fx.LOOKBACK_MINUTES).fillna(-1, ["last_near_event_id"])
 
 
 def _stored(spark, sf_dir):
@@ -544,3 +545,61 @@ def appended_user_bounds(spark, sf_dir):
 
 for _named in (appended_sessions, appended_user_bounds):
     QUERIES[_named.__name__] = _named
+
+
+# Stored rollups, heavy hitters, tiles, running baselines
+
+def _rollup(df):
+    """Written and read again, as a report would find it."""
+    return stage(rollups.activity_rollup(df, "hour"), "activity-rollup")
+
+
+@query
+def rollup_users(df):
+    """Exact users of a window by colour, and whether the sketches' estimate is within four of its deviations."""
+    exact = df.filter(within(F.col("ts"), *fx.HOURS)).groupBy("pc").agg(F.count_distinct("user_id").alias("users"))
+    asked = rollups.distinct_users(_rollup(df), *fx.HOURS, by=["pc"]).withColumnRenamed("users", "estimate")
+    error = F.abs(F.col("estimate") - F.col("users")) <= F.lit(4 * rollups.DISTINCT_ERROR) * F.col("users") + 1
+    return asked.join(exact, "pc").select("pc", "placements", "users", error.alias("within_error"))
+
+
+@query
+def rollup_percentiles(df):
+    """Exact quartiles of the values of a window, and whether the sketches' ranks are within the stated error of the shares."""
+    inside = df.filter(within(F.col("ts"), *fx.HOURS)).select(F.col("ts"), (F.col("x") * 40 + F.col("y")).alias("place"))
+    shares = [0.25, 0.5, 0.75, 0.99]
+    stored = stage(rollups.value_rollup(df.withColumn("place", F.col("x") * 40 + F.col("y")), "place", unit="hour"), "value-rollup")
+    asked = rollups.percentiles(stored, shares, *fx.HOURS)
+    exact = inside.agg(*[F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY place)").alias(f"e{i}") for i, s in enumerate(shares)])
+    ranks = stage(asked, "asked").join(F.broadcast(inside.groupBy("place").agg(F.count(F.lit(1)).alias("k"))), F.col("place") <= F.col("value")).groupBy("percentile", "n", "value").agg(
+        F.sum("k").alias("upto"), F.max(F.struct("place", "k"))["k"].alias("ties"))
+    good = (F.col("upto") / F.col("n") >= F.col("percentile") - rollups.RANK_ERROR) & ((F.col("upto") - F.col("ties")) / F.col("n") <= F.col("percentile") + rollups.RANK_ERROR)
+    named = exact.select(F.inline(F.array(*[F.struct(F.lit(s).alias("percentile"), F.col(f"e{i}").cast("int").alias("exact")) for i, s in enumerate(shares)])))
+    return ranks.join(named, "percentile").select("percentile", "n", "exact", good.alias("within_error"))
+
+
+@query
+def heavy_pixels(df):
+    """`hot_pixels` without a count of every pixel."""
+    return heavy.heavy_hitters(df, ["x", "y"], fx.HOT).withColumnRenamed("n", "edits")
+
+
+@query
+def heavy_users(df):
+    return heavy.heavy_hitters(df, ["user_id"], max(1, df.count() // 500)).withColumnRenamed("n", "edits")
+
+
+@query
+def tile_pyramid(df):
+    return tiles.tile_pyramid(df.withColumn("hour", F.hour("ts")), levels=7, value="hour")
+
+
+@query
+def running_baseline(df):
+    counts = df.filter(F.col("ts").isNotNull()).groupBy(F.date_trunc("hour", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("n"))
+    return spikes.running_baseline(counts, "n", unit_seconds=3600, periods=14)
+
+
+@query
+def running_spikes(df):
+    return spikes.running_spikes(df, 2.0, "hour", 3600, least=2)

@@ -21,6 +21,7 @@ TOP_USERS = 50
 LOW_DIVERSITY = {"min_edits": 60, "max_colors": 5}
 SPIKE, UNIT = "2024-01-01 00:00:00", "hour"
 RANGE = ("2024-01-03 20:30:00", "2024-01-05 21:30:00")
+HOURS = ("2024-01-03 20:00:00", "2024-01-20 07:00:00")
 SHORT, LONG = 42500, 42900
 N_BINS, N_TOTAL, SEED = 24, 2400, 42
 N_ASKED = 300

@@ -349,7 +349,7 @@ ORACLES = {
                round((epoch_us(s.ts) - epoch_us(f.ts)) / 1e6, 6) AS seconds_before FROM near_pairs s JOIN timeline f ON f.event_id = s.near_event_id""",
         "near_pairs"),
     "neighborhood_profile": _sql("""
-        SELECT a.event_id, count(f.event_id) AS n_near, max_by(f.event_id, {'t': f.ts, 'i': f.event_id}) AS last_near_event_id,
+        SELECT a.event_id, count(f.event_id) AS n_near, coalesce(max_by(f.event_id, {'t': f.ts, 'i': f.event_id}), -1) AS last_near_event_id,
                round(CAST(sum(epoch_us(a.ts) - epoch_us(f.ts)) AS DOUBLE) / nullif(count(f.event_id), 0) / 1e6, 6) AS mean_seconds_before,
                round(avg(CASE WHEN f.event_id IS NULL THEN NULL WHEN a.pc IS NOT DISTINCT FROM f.pc THEN 1 ELSE 0 END), 6) AS same_color_share
         FROM asked a LEFT JOIN near_pairs n USING (event_id) LEFT JOIN timeline f ON f.event_id = n.near_event_id
@@ -357,4 +357,34 @@ ORACLES = {
     "appended_sessions": _sql("SELECT * FROM all_sessions", "all_sessions"),
     "appended_user_bounds": _sql("""
         SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM p GROUP BY user_id""", "p"),
+    "rollup_users": _sql(f"""
+        SELECT pc, count(*) AS placements, count(DISTINCT user_id) AS users, true AS within_error
+        FROM p WHERE ts >= TIMESTAMP '{fx.HOURS[0]}' AND ts < TIMESTAMP '{fx.HOURS[1]}' GROUP BY pc""", "p"),
+    "rollup_percentiles": _sql(f"""
+        SELECT s AS percentile, n, CAST(v[i] AS INTEGER) AS exact, true AS within_error FROM (
+            SELECT count(*) AS n, quantile_disc(x * 40 + y, [0.25, 0.5, 0.75, 0.99]) AS v
+            FROM p WHERE ts >= TIMESTAMP '{fx.HOURS[0]}' AND ts < TIMESTAMP '{fx.HOURS[1]}'),
+            (VALUES (1, 0.25::DOUBLE), (2, 0.5::DOUBLE), (3, 0.75::DOUBLE), (4, 0.99::DOUBLE)) AS shares(i, s)""", "p"),
+    "heavy_pixels": _sql(f"SELECT x, y, edits FROM pixels WHERE edits > {fx.HOT}", "pixels"),
+    "heavy_users": _sql("""
+        SELECT user_id, count(*) AS edits FROM p GROUP BY user_id
+        HAVING count(*) > greatest(1, (SELECT count(*) FROM p) // 500)""", "p"),
+    "tile_pyramid": _sql("""
+        SELECT CAST(l AS INTEGER) AS level, CAST(x // (1 << l) AS INTEGER) AS x_tile, CAST(y // (1 << l) AS INTEGER) AS y_tile,
+               count(*) AS n, CAST(sum(hour(ts)) AS BIGINT) AS total
+        FROM p, range(0, 7) AS levels(l) GROUP BY 1, 2, 3""", "p"),
+    "running_baseline": _sql("""
+        , c AS (SELECT date_trunc('hour', ts) AS minute, count(*) AS n FROM p GROUP BY 1),
+          s AS (SELECT *, list(n::DOUBLE) OVER (PARTITION BY hour(minute) ORDER BY minute ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS seen FROM c),
+          m AS (SELECT *, CASE WHEN len(seen) >= 4 THEN list_aggregate(seen, 'median') END AS median FROM s),
+          d AS (SELECT *, CASE WHEN median IS NOT NULL THEN list_aggregate(list_transform(seen, lambda v: abs(v - median)), 'median') END AS mad FROM m)
+        SELECT minute, n, round(median, 6) AS median, round(mad, 6) AS mad,
+               round((n - median) / (CASE WHEN mad = 0 THEN 1 ELSE mad END * 1.4826::DOUBLE), 6) AS score FROM d""", "p"),
+    "running_spikes": _sql(f"""
+        , c AS (SELECT minute, first_time_users FROM new_per_unit),
+          s AS (SELECT *, list(first_time_users::DOUBLE) OVER (PARTITION BY hour(minute) ORDER BY minute ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING) AS seen FROM c),
+          m AS (SELECT *, CASE WHEN len(seen) >= 2 THEN list_aggregate(seen, 'median') END AS median FROM s),
+          d AS (SELECT *, CASE WHEN median IS NOT NULL THEN list_aggregate(list_transform(seen, lambda v: abs(v - median)), 'median') END AS mad FROM m),
+          e AS (SELECT minute, first_time_users, median, mad, (first_time_users - median) / (CASE WHEN mad = 0 THEN 1 ELSE mad END * 1.4826::DOUBLE) AS score FROM d)
+        SELECT minute, first_time_users, round(median, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score FROM e WHERE score >= 2.0""", "new_per_unit"),
 }
