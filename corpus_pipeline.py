@@ -16,6 +16,8 @@ from muralog.sources.scratch import stage
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
 WINDOW = 4096
+# What the classifier samples of the documents that the quality rules leave.
+SHARE = 0.87
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return importance.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return importance.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

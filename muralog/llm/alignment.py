@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muralog.llm.token_output import runs_of_bytes
+from muralog.llm.token_output import bytes_of, runs_of_bytes
 from muralog.llm.words import Memo, expand, joined, slices, sums
 from muralog.sources.scratch import broadcast_if_small, stage
 
@@ -39,6 +39,8 @@ FAN = 16
 HEAD_PAIRS = 2_000_000
 # A task hands on its counts when it holds this many.
 HELD_PAIRS = 1_000_000
+# Links that are looked up, or counted, at once.
+LINKS_AT_ONCE = 1 << 20
 
 BLANKS = r"\s\x0b\x1c-\x1f\x{85}\pZ"
 # Marks of parts of words that don't begin with a blank: a comma or full stop behind a letter, and what follows a line's end.
@@ -315,7 +317,7 @@ def parts(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int, piece
         pair = Pair.of(byte_level, pieces)
         done = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for rows in slices(batch, limit=1 << 21):
+            for rows in slices(batch, limit=1 << 20):
                 texts = rows.column("text")
                 ids_a, n_a, ids_b, n_b, valid = pair.encode(texts)
                 n_bytes = np.asarray(pc.binary_length(texts)).astype(np.int64) + 1
@@ -445,7 +447,7 @@ def pair_counts(links: DataFrame, n_b: int) -> DataFrame:
             for some in batch.column("links"):
                 waiting.append(np.frombuffer(some.as_buffer() or b"", "<u4"))
                 size += len(waiting[-1])
-                if size > 4 * HELD_PAIRS:
+                if size > LINKS_AT_ONCE:
                     keys, counts = _merged(keys, counts, waiting)
                     waiting, size = [], 0
                     if len(keys) > HELD_PAIRS:
@@ -510,16 +512,16 @@ def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = CHUN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = np.append(keys, 1 << 62), np.append(numbers, 0), np.append(bests, False)
         for batch in batches:
-            links = batch.column("links")
-            ends = np.cumsum(np.asarray(pc.binary_length(links)), dtype=np.int64) // 4
-            _, offsets, data = links.buffers()
-            offsets = np.frombuffer(offsets, np.int32)[links.offset:links.offset + len(links) + 1]
-            pairs = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view("<u4").astype(np.int64) if data else np.zeros(0, np.int64)
-            at = np.searchsorted(known, pairs)
-            met = known[at] == pairs
-            missed = runs_of_longs(pairs[~met], sums(~met, ends))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sums(np.where(met, best[at], False).astype(np.int64), ends)), pa.array(sums(np.where(met, n[at], 0), ends)), missed],
-                                             [*kept, "n_best", "count_sum", "missed"])
+            lengths = np.asarray(pc.binary_length(batch.column("links")), dtype=np.int64) // 4
+            for begin, end in runs_of_at_most(lengths, LINKS_AT_ONCE):
+                rows, ends = batch.slice(begin, end - begin), np.cumsum(lengths[begin:end])
+                pairs = bytes_of(rows.column("links")).view("<u4").astype(np.int64)
+                at = np.searchsorted(known, pairs)
+                met = known[at] == pairs
+                at[~met] = len(keys)
+                missed = runs_of_longs(pairs[~met], sums(~met, ends))
+                yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(sums(best[at].astype(np.int64), ends)), pa.array(sums(n[at], ends)), missed],
+                                                 [*kept, "n_best", "count_sum", "missed"])
 
     kept = ["row", "doc_id", "at", "n_a", "n_b", "n_groups", "n_links", "sha"]
     scored = everything.select(*kept, F.coalesce("links", F.lit(b"")).alias("links")).mapInArrow(
@@ -537,6 +539,16 @@ def align(docs: DataFrame, byte_level: str, pieces: str, chunk_bytes: int = CHUN
     return out.select("doc_id", *numbers_of, "groups_sha256").unionByName(void)
 
 
+def runs_of_at_most(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows with at most `most` in all, or a single row."""
+    ends, begin = np.cumsum(lengths), 0
+    while begin < len(lengths):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, end
+        begin = end
+
+
 def runs_of_longs(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
 

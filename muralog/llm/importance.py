@@ -28,7 +28,7 @@ BITS = 20
 BUCKETS = 1 << BITS
 SMOOTHING = 16.0
 # The share of the rows that is sampled.
-SHARE = 0.78
+SHARE = 0.75
 SEED = 11
 # The k-th largest value is looked for in at most this many values at the driver.
 FEW = 10_000
