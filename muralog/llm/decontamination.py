@@ -2,16 +2,18 @@
 
 Texts are lower-cased (A-Z) words. A window's SimHash is the majority, bit by bit, over the hashes of
 its five-word shingles. Window sizes are a geometric grid; an item is looked for with the largest size
-that it can fill, by the fingerprints of its first and of its last so many words. Every position of
-every document is a window, so a copy of an item is always a window of distance 0.
+that every passage alike to it can fill, so that a copy without its first or last words is found too, by
+the fingerprints of its first, its middle and its last so many words. Every position of every document
+is a window, so a copy of an item is always a window of distance 0.
 
 A fingerprint has `BLOCKS` blocks. If two of them differ in at most `RADIUS` bits, they differ in at
 most `RADIUS // BLOCKS` bits of some block, so looking up each block's value among the values near an
 item's block finds every window within the radius. What is found is checked on the words themselves:
-the sum of the smaller over the sum of the larger counts of each five-word shingle in item and passage.
-A weighted similarity of 0.8 is an expected distance of about 9.7 bits with a deviation of 2.9, so the
-radius leaves nearly two deviations of room. A lossless filter comes first: a window is only looked up
-where the words around it hold so many shingles of any items that a passage there can be alike.
+the sum of the smaller over the sum of the larger counts of each five-word shingle in item and passage,
+for the run of words around the window, of whatever length, for which that is largest. A weighted
+similarity of 0.8 is an expected distance of about 9.7 bits with a deviation of 2.9, so the radius
+leaves nearly two deviations of room. A lossless filter comes first: a window is only looked up where
+the words around it hold so many shingles of any items that a passage there can be alike.
 """
 
 from __future__ import annotations
@@ -45,11 +47,33 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def similarity(a: list[bytes], b: list[bytes]) -> float:
-    """Weighted Jaccard similarity of the shingles of two word lists."""
-    x, y = (Counter(tuple(w[i:i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)) for w in (a, b))
-    either = (x | y).total()
-    return (x & y).total() / either if either else 0.0
+def shingles_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
+    return [tuple(words[i:i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+
+
+def best_run(item: list[bytes], words: list[bytes]) -> tuple[float, int]:
+    """The largest weighted Jaccard similarity of the item's shingles with those of a run of `words`, and where the run begins.
+
+    The best run begins and ends with a shingle of the item. Where no shingle of the item repeats and none
+    of the places that hold them is longer than the item, it begins where such a place does.
+    """
+    own, there = Counter(shingles_of(item)), shingles_of(words)
+    known = [s in own for s in there]
+    begins = [i for i, k in enumerate(known) if k and not (i and known[i - 1])]
+    total = own.total()
+    ends = [i for i, k in enumerate(known) if k and not (i + 1 < len(known) and known[i + 1])]
+    if len(own) < total or any(e - b >= total for b, e in zip(begins, ends)):
+        begins = [i for i, k in enumerate(known) if k]
+    best = (0.0, 0)
+    for begin in begins:
+        met: Counter[tuple[bytes, ...]] = Counter()
+        shared = 0
+        for length, shingle in enumerate(there[begin:begin + int(total / SIMILARITY + 1e-9)], 1):
+            if shingle in own:
+                met[shingle] += 1
+                shared += met[shingle] <= own[shingle]
+                best = max(best, (shared / (total + length - shared), -begin))
+    return best[0], -best[1]
 
 
 def window_sizes() -> list[int]:
@@ -77,6 +101,11 @@ def reach(words: int) -> int:
     return int((1 - SIMILARITY) * (words - SHINGLE + 1) + 1e-9)
 
 
+def least_words(words: int) -> int:
+    """The words that a passage alike to an item of so many words has at least."""
+    return int(np.ceil(SIMILARITY * (words - SHINGLE + 1) - 1e-9)) + SHINGLE - 1
+
+
 class Index:
     """Fingerprints of item parts by window size, with lists of the parts near each block value."""
 
@@ -99,12 +128,13 @@ class Index:
             hashes, *_ = words_of(pa.array([b" ".join(words).decode()], pa.large_string()))
             shingles = shingle_hashes(hashes, SHINGLE)
             self.shingles.append(np.unique(shingles))
-            size = int(sizes[np.searchsorted(sizes, len(words), side="right") - 1])
+            size = int(sizes[np.searchsorted(sizes, least_words(len(words)), side="right") - 1])
             fingerprints = window_fingerprints(running_bits(shingles), size - SHINGLE + 1)
-            for offset in sorted({*range(0, len(words) - size + 1, LONGEST // 2), len(words) - size}):
+            for offset in sorted({*range(0, len(words) - size + 1, LONGEST // 2), (len(words) - size) // 2, len(words) - size}):
                 parts.setdefault(size, []).append((at, offset, int(fingerprints[offset])))
         self.sizes = {size: self._near(found) for size, found in sorted(parts.items())}
         self.widest = {size: max(len(self.items[at][1]) for at, *_ in found) for size, found in parts.items()}
+        self.least = {size: min(len(self.items[at][1]) for at, *_ in found) for size, found in parts.items()}
         self._all = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.shingles]))
         self._tops = np.zeros(1 << 20, bool)
         self._tops[self._all >> np.uint64(44)] = True
@@ -122,7 +152,7 @@ class Index:
         at, out = np.arange(len(shingles)), {}
         for size, widest in self.widest.items():
             around = widest + reach(widest)
-            out[size] = shared[np.minimum(at + around, len(shingles))] - shared[np.maximum(at - around, 0)] >= SIMILARITY * (size - SHINGLE + 1) - 1e-9
+            out[size] = shared[np.minimum(at + around, len(shingles))] - shared[np.maximum(at - around, 0)] >= SIMILARITY * (self.least[size] - SHINGLE + 1) - 1e-9
         return out
 
     def _near(self, found: list[tuple[int, int, int]]):
@@ -202,21 +232,32 @@ def find_passages(texts: pa.Array, index: Index) -> list[tuple[int, int, int, fl
             low, high = np.maximum(begins[at], begin - far), np.minimum(ends[at], begin + length + far)
             alike = may_be_alike(index, one, low, high, shingles)
             for t, f in zip(at[alike].tolist(), begin[alike].tolist()):
-                found.setdefault((t, int(one)), set()).update(range(f - far, f + far + 1))
+                found.setdefault((t, int(one)), set()).add(f)
     data, _ = text_bytes(texts)
     best: dict[tuple[int, int], tuple[float, int]] = {}
     for (text, item), firsts in sorted(found.items()):
         begin, end = int(begins[text]), int(ends[text])
         number, words = index.items[item]
-        for first in sorted(firsts):
-            low, high = max(begin, first), min(end, first + len(words))
-            passage = [data[a:b].tobytes().lower() for a, b in zip(starts[low:high], stops[low:high])]
-            alike = similarity(words, passage)
+        far = reach(len(words))
+        for low, high in _regions(sorted(firsts), far, len(words) + far):
+            low, high = max(begin, low), min(end, high)
+            alike, first = best_run(words, [data[a:b].tobytes().lower() for a, b in zip(starts[low:high], stops[low:high])])
             if alike >= SIMILARITY and alike > best.get((text, number), (0.0, 0))[0]:
-                best[text, number] = (alike, low - begin)
+                best[text, number] = (alike, low + first - begin)
     return [(t, i, first, s) for (t, i), (s, first) in best.items()]
 
 
+def _regions(firsts: list[int], before: int, behind: int) -> Iterator[tuple[int, int]]:
+    """The words from `before` each place to `behind` it, those of neighbouring places in one."""
+    begin = last = firsts[0]
+    for f in firsts[1:]:
+        if f - last > before + behind:
+            yield begin - before, last + behind
+            begin = f
+        last = f
+    yield begin - before, last + behind
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`doc_id`, `item_id`, `first_word`, `similarity`: items that a document holds a passage of.
 
