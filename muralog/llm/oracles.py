@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from muralog.llm import quality_rules, url_trust
+from muralog.llm import url_trust
 
 
 def _text(value: str) -> str:
@@ -10,10 +10,18 @@ def _text(value: str) -> str:
 
 
 def quality_sql() -> str:
-    """Base statistics by unnesting, then the estimation steps written out one after another."""
-    q, index = quality_rules, range(4)
-    pairs = q.PAIRS
+    """Base statistics by unnesting, then the minimum covariance determinant written out, from the definition.
+
+    Chi-square quantiles for 1 to 4 degrees: the median, 97.5 %, and what is exceeded with a chance of 10^-12.
+    """
+    index, pairs = range(4), [(i, j) for i in range(4) for j in range(i, 4)]
+    median_of, most_of, cutoff_of = (
+        "[0.45493642311957283, 1.3862943611198906, 2.3659738843753377, 3.3566939800333224]",
+        "[5.023886187314888, 7.377758908227871, 9.348403604496148, 11.143286781877796]",
+        "[50.84389, 55.26204, 58.9203, 62.2003]")
     cell = lambda a, i, j: f"{a}{min(i, j)}{max(i, j)}"
+    many = lambda text, over: ", ".join(text(*k) if isinstance(k, tuple) else text(k) for k in over)
+    distance = "greatest(" + " + ".join(f"p{i}{j} * (t{i} - m{i}) * (t{j} - m{j})" + ("" if i == j else " * 2") for i, j in pairs) + ", 0)"
     steps = [rf"""
         words AS (
             SELECT doc_id, lang, source, row, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
@@ -28,33 +36,40 @@ def quality_sql() -> str:
             FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM words)
             WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row),
         base AS (
-            SELECT doc_id, lang, source, len(w) AS n_words, length(list_aggregate(w, 'string_agg', '')) AS word_chars,
-                   length(text) - length(regexp_replace(text, '{q.SYMBOLS}', '', 'g')) AS n_symbols,
-                   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+            SELECT doc_id, lang, source, row, len(w) AS n_words, coalesce(length(list_aggregate(w, 'string_agg', '')), 0) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                   length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS letters, len(list_distinct(w)) AS new
             FROM words LEFT JOIN lines l USING (row) LEFT JOIN covered c USING (row)),
-        judged AS (
-            SELECT *, coalesce(word_chars, 0) AS chars, greatest(n_words, 1)::DOUBLE AS n,
-                   n_words < {q.FEW_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM base),
+        judged AS (SELECT *, greatest(n_words, 1)::DOUBLE AS n, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
         placed AS (
-            SELECT *, ln(chars / n + 0.1) AS z0, sqrt(n_symbols / n) AS z1, sqrt(n_dup_lines / n) AS z2, sqrt(n_repeat_words / n) AS z3,
-                   coalesce('s' || source, 'none') AS s, coalesce('l' || lang, 'none') AS l FROM judged),
-        sizes AS (SELECT l, s FROM placed WHERE NOT base_failed GROUP BY l, s HAVING count(*) >= {q.LEAST_GROUP}),
-        grouped AS (SELECT p.*, CASE WHEN z.l IS NULL THEN p.l ELSE p.l || chr(31) || p.s END AS grp FROM placed p LEFT JOIN sizes z USING (l, s)),
-        members AS MATERIALIZED (
-            SELECT grp, z0, z1, z2, z3 FROM grouped WHERE NOT base_failed
-            AND grp IN (SELECT grp FROM grouped WHERE NOT base_failed GROUP BY grp HAVING count(*) >= {q.LEAST_GROUP})),
-        medians AS (SELECT grp, {', '.join(f'quantile_disc(z{i}, 0.5) AS m{i}' for i in index)} FROM members GROUP BY grp),
-        deviations AS (SELECT grp, {', '.join(f'quantile_disc(abs(z{i} - m{i}), 0.5) AS d{i}' for i in index)} FROM members JOIN medians USING (grp) GROUP BY grp),
-        e0 AS (SELECT m.*, {', '.join(f'1 / ((d{i} * 1.4826) ** 2 + {q.LEAST_SPREAD[i] ** 2!r}::DOUBLE) AS p{i}{j}' if i == j else f'0::DOUBLE AS p{i}{j}' for i, j in pairs)}
-               FROM medians m JOIN deviations USING (grp))"""]
-    distance = " + ".join(f"p{i}{j} * (z{i} - m{i}) * (z{j} - m{j})" + ("" if i == j else " * 2") for i, j in pairs)
-    for k in range(q.STEPS):
+            SELECT *, ln((word_chars + 1) / n) AS z0, ln((word_chars - letters + 1)::DOUBLE / (letters + 1)) AS z1, ln((new + 1) / (n - new + 1)) AS z2, ln(n) AS z3,
+                   sqrt(n / (n + 400)) AS say, coalesce('l' || lang, 'none') AS l, coalesce('l' || lang, 'none') || chr(31) || coalesce('s' || source, 'none') AS ls FROM judged),
+        one AS (SELECT *, CASE WHEN count(*) FILTER (NOT base_failed) OVER (PARTITION BY ls) >= 50 THEN ls ELSE l END AS g1 FROM placed),
+        grouped AS (SELECT *, CASE WHEN count(*) FILTER (NOT base_failed) OVER (PARTITION BY g1) >= 50 THEN g1 ELSE 'all' END AS grp FROM one),
+        passed AS MATERIALIZED (
+            SELECT * FROM grouped WHERE NOT base_failed AND grp IN (SELECT grp FROM grouped WHERE NOT base_failed GROUP BY grp HAVING count(*) >= 50)),
+        medians AS (SELECT grp, {many(lambda i: f'quantile_disc(z{i}, 0.5) AS c{i}', index)} FROM passed GROUP BY grp),
+        deviations AS (SELECT grp, {many(lambda i: f'quantile_disc(abs((z{i} - c{i}) * say), 0.5) AS d{i}', index)} FROM passed JOIN medians USING (grp) GROUP BY grp),
+        located AS MATERIALIZED (
+            SELECT g.*, {many(lambda i: f'(z{i} - c{i}) * say / CASE WHEN d{i} > 0 THEN d{i} * 1.4826 ELSE 1 END AS t{i}', index)}
+            FROM grouped g LEFT JOIN medians USING (grp) LEFT JOIN deviations USING (grp)),
+        members AS MATERIALIZED (SELECT grp, t0, t1, t2, t3 FROM located WHERE row IN (SELECT row FROM passed)),
+        lengths AS (SELECT *, sqrt(t0 * t0 + t1 * t1 + t2 * t2 + t3 * t3) AS length FROM members),
+        drawn AS (
+            SELECT grp || '#1' AS key, {many(lambda i: f'tanh(t{i}) AS t{i}', index)} FROM lengths UNION ALL
+            SELECT grp || '#2', {many(lambda i: f'CASE WHEN length > 0 THEN t{i} / length ELSE 0 END', index)} FROM lengths),
+        tried AS MATERIALIZED (SELECT grp || '#' || k AS key, t0, t1, t2, t3 FROM members, (VALUES (0), (1), (2)) AS starts(k))"""]
+
+    def estimate(name: str, rows: str, key: str) -> None:
+        live = lambda i: f"(v{i}{i} > 1e-9)"
         steps.append(f"""
-        b{k} AS MATERIALIZED (SELECT m.*, CAST(floor(ln(greatest({distance}, 0) + 1e-3) / {q.BIN}) AS BIGINT) AS bin FROM members m JOIN e{k} USING (grp)),
-        g{k} AS (SELECT grp, quantile_disc(bin, {q.CORE}) AS edge FROM b{k} GROUP BY grp),
-        s{k} AS (SELECT grp, {', '.join(f'avg(z{i}) AS m{i}' for i in index)}, {', '.join(f'avg(z{i} * z{j}) AS q{i}{j}' for i, j in pairs)}
-                 FROM b{k} JOIN g{k} USING (grp) WHERE bin <= edge GROUP BY grp),
-        c{k}_0 AS (SELECT grp, m0, m1, m2, m3, {', '.join(f'greatest(q{i}{j} - m{i} * m{j}, 0) + {q.LEAST_SPREAD[i] ** 2!r}::DOUBLE AS a{i}{j}' if i == j else f'q{i}{j} - m{i} * m{j} AS a{i}{j}' for i, j in pairs)} FROM s{k})""")
+        {name}_s AS (SELECT {key}, {many(lambda i: f'avg(t{i}) AS m{i}', index)}, {many(lambda i, j: f'avg(t{i} * t{j}) AS q{i}{j}', pairs)} FROM {rows} GROUP BY {key}),
+        {name}_v AS (SELECT {key}, m0, m1, m2, m3, {many(lambda i, j: f'q{i}{j} - m{i} * m{j} AS v{i}{j}', pairs)} FROM {name}_s),
+        {name}_0 AS (
+            SELECT {key}, m0, m1, m2, m3, {many(lambda i: f'{live(i)}::INTEGER AS live{i}', index)}, 1::DOUBLE AS det,
+                   {many(lambda i, j: f"CASE WHEN {live(i)} AND {live(j)} THEN v{i}{j}{' * (1 + 1e-9::DOUBLE)' if i == j else ''} ELSE {int(i == j)} END AS a{i}{j}", pairs)}
+            FROM {name}_v)""")
         for pivot in index:  # invert by eliminating one coordinate after another
             new = []
             for i, j in pairs:
@@ -65,12 +80,42 @@ def quality_sql() -> str:
                     new.append(f"{a} / {at} AS {a}")
                 else:
                     new.append(f"{a} - {cell('a', i, pivot)} * {cell('a', pivot, j)} / {at} AS {a}")
-            steps.append(f"\n        c{k}_{pivot + 1} AS (SELECT grp, m0, m1, m2, m3, {', '.join(new)} FROM c{k}_{pivot})")
-        steps.append(f"\n        e{k + 1} AS MATERIALIZED (SELECT grp, m0, m1, m2, m3, {', '.join(f'-a{i}{j} AS p{i}{j}' for i, j in pairs)} FROM c{k}_4)")
+            steps.append(f"""
+        {name}_{pivot + 1} AS (SELECT {key}, m0, m1, m2, m3, live0, live1, live2, live3, det * a{pivot}{pivot} AS det, {', '.join(new)} FROM {name}_{pivot})""")
+        steps.append(f"""
+        {name} AS MATERIALIZED (SELECT {key}, m0, m1, m2, m3, det, live0 + live1 + live2 + live3 AS dims, {many(lambda i, j: f'-a{i}{j} * live{i} * live{j} AS p{i}{j}', pairs)} FROM {name}_4)""")
+
+    def brought(name: str, from_: str) -> None:
+        steps.append(f"""
+        {name}_d AS (SELECT grp, quantile_disc({distance}, 0.5) AS middle FROM members JOIN {from_} USING (grp) GROUP BY grp),
+        {name} AS MATERIALIZED (
+            SELECT grp, dims, m0, m1, m2, m3, {many(lambda i, j: f'p{i}{j} * CASE WHEN middle > 0 THEN coalesce({median_of}[dims], 1) / middle ELSE 1 END AS p{i}{j}', pairs)}
+            FROM {from_} JOIN {name}_d USING (grp))""")
+
+    estimate("shaped", "drawn", "key")
+    steps.append(f"""
+        e0 AS (
+            SELECT key, {many(lambda i: f'0::DOUBLE AS m{i}', index)}, {many(lambda i, j: f'p{i}{j}', pairs)} FROM shaped UNION ALL
+            SELECT DISTINCT grp || '#0', 0, 0, 0, 0, {many(lambda i, j: str(int(i == j)), pairs)} FROM members)""")
+    for k in range(4):
+        steps.append(f"""
+        b{k} AS MATERIALIZED (SELECT r.*, CAST(floor(ln({distance} + 1e-3) / 0.01) AS BIGINT) AS bin FROM tried r JOIN e{k} USING (key)),
+        g{k} AS (SELECT key, quantile_disc(bin, 0.75) AS edge FROM b{k} GROUP BY key),
+        core{k} AS (SELECT b{k}.* FROM b{k} JOIN g{k} USING (key) WHERE bin <= edge)""")
+        estimate(f"e{k + 1}", f"core{k}", "key")
+    steps.append("""
+        chosen AS (
+            SELECT * FROM (SELECT *, regexp_replace(key, '#[0-9]+$', '') AS grp FROM e4)
+            QUALIFY row_number() OVER (PARTITION BY grp ORDER BY dims DESC, det, key) = 1)""")
+    brought("raw", "chosen")
+    steps.append(f"""
+        inner_texts AS (SELECT m.* FROM members m JOIN raw USING (grp) WHERE {distance} <= coalesce({most_of}[dims], 1))""")
+    estimate("reweighted", "inner_texts", "grp")
+    brought("final", "reweighted")
     return "WITH " + ",".join(steps) + f"""
-        SELECT doc_id, n_words, chars AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND coalesce(greatest({distance}, 0) <= {q.CUTOFF}, true) AS kept
-        FROM grouped LEFT JOIN e{q.STEPS} USING (grp)"""
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND coalesce({distance} <= coalesce({cutoff_of}[dims], 1), true) AS kept
+        FROM located LEFT JOIN final USING (grp)"""
 
 
 def url_sql(rules: list[tuple[str, str]]) -> str:
