@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from muralog.sources.scratch import scratch_path, scratch_root, stage
 
-# Nodes and rows that one task walks; a forest may have any number of such groups.
+# Nodes that go to every task at once; a forest may have any number of such groups.
 NODES_PER_GROUP = 1_000_000
-ROWS_PER_BLOCK = 100_000
 
 
 def fit_survival_model(train: DataFrame, features: Sequence[str], label: str, num_trees: int = 150,
@@ -87,9 +86,9 @@ def path_attribution(model: PipelineModel, df: DataFrame) -> DataFrame:
     the feature of that split. Averaged over the trees, the contributions of a row and the base value
     add up to its predicted probability.
 
-    Trees are put into groups of bounded size and rows into blocks of bounded length; each task gets
-    one block and one group from the tables, and the shares are summed by row and feature. The nodes
-    never pass through the driver.
+    Trees are put into groups of bounded size. Each group passes over the rows once, in batches, and adds
+    to the credits that the rows carry; its arrays go to every task, and the next group starts from the
+    written rows. Rows are not shuffled, and nodes are not joined with them.
     """
     spark = df.sparkSession
     names = list(model.stages[0].getInputCols())
@@ -97,20 +96,16 @@ def path_attribution(model: PipelineModel, df: DataFrame) -> DataFrame:
     groups, n_trees = tree_groups(nodes)
     base = nodes.filter("node = 0").agg(F.avg("prob")).first()[0]
 
-    rows = stage(df.select("event_id", *[F.col(c).cast("double").alias(c) for c in names]), "attributed-rows")
-    blocks = max(1, -(-rows.count() // ROWS_PER_BLOCK))
-    every_group = F.explode(F.array(*[F.lit(g) for g in range(max(groups.values()) + 1)]))
-    placed = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int"))
-    placed = placed.select("_row", "event_id", *names, "_block", every_group.alias("_group"))
-    group_of = F.element_at(F.create_map(*[F.lit(v) for item in groups.items() for v in item]), F.col("tree"))
-    spread = nodes.withColumn("_group", group_of).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    shares = placed.groupBy("_block", "_group").cogroup(spread.groupBy("_block", "_group")).applyInPandas(
-        _walker(names, n_trees), "_row long, event_id long, feature string, value double, contribution double")
-    return shares.groupBy("_row", "event_id", "feature").agg(
-        F.first("value").alias("value"), F.sum("contribution").alias("contribution")
-    ).drop("_row").withColumn("base_value", F.lit(base))
+    rows = df.select("event_id", F.array(*[F.col(c).cast("double") for c in names]).alias("values"),
+                     F.array(*[F.lit(0.0) for _ in names]).alias("credits"))
+    for group in range(max(groups.values()) + 1):
+        if group:
+            rows = stage(rows, "credited-rows")
+        trees = _tree_arrays(nodes.filter(F.col("tree").isin([t for t, g in groups.items() if g == group])).toPandas())  # NODES_PER_GROUP rows at most
+        rows = rows.mapInPandas(_walker(trees), rows.schema)
+    credited = [F.struct(F.lit(c).alias("feature"), F.col("values")[i].alias("value"), (F.col("credits")[i] / F.lit(n_trees)).alias("contribution"))
+                for i, c in enumerate(names)]
+    return rows.select("event_id", F.inline(F.array(*credited))).withColumn("base_value", F.lit(base))
 
 
 def tree_groups(nodes: DataFrame) -> tuple[dict[int, int], int]:
@@ -135,27 +130,23 @@ def _tree_arrays(table: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def _walker(names: list[str], n_trees: int):
-    """Move all rows of a block down one level of a tree at a time."""
-    def walk(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        values = rows[names].to_numpy(dtype="float64")
-        credit = np.zeros_like(values)
-        every = np.arange(len(rows))
-        for t in _tree_arrays(nodes) if len(rows) else []:
-            at = np.zeros(len(rows), dtype="int64")
-            moving = every[t["left"][at] >= 0]
-            while len(moving):
-                here, split = at[moving], t["feature"][at[moving]]
-                goes_left = values[moving, split] <= t["threshold"][here]
-                there = np.where(goes_left, t["left"][here], t["right"][here])
-                credit[moving, split] += t["prob"][there] - t["prob"][here]
-                at[moving] = there
-                moving = moving[t["left"][there] >= 0]
-        return pd.DataFrame({
-            "_row": np.repeat(rows["_row"].to_numpy(), len(names)),
-            "event_id": np.repeat(rows["event_id"].to_numpy(), len(names)),
-            "feature": np.tile(names, len(rows)),
-            "value": values.reshape(-1),
-            "contribution": credit.reshape(-1) / n_trees,
-        })
+def _walker(trees: list[dict[str, np.ndarray]]):
+    """Move all rows of a batch down one level of a tree at a time, and add what their paths change to the credits."""
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if not len(rows):
+                continue
+            values, credit = (np.stack(rows[c].to_numpy()).astype("float64") for c in ("values", "credits"))
+            every = np.arange(len(rows))
+            for t in trees:
+                at = np.zeros(len(rows), dtype="int64")
+                moving = every[t["left"][at] >= 0]
+                while len(moving):
+                    here, split = at[moving], t["feature"][at[moving]]
+                    goes_left = values[moving, split] <= t["threshold"][here]
+                    there = np.where(goes_left, t["left"][here], t["right"][here])
+                    credit[moving, split] += t["prob"][there] - t["prob"][here]
+                    at[moving] = there
+                    moving = moving[t["left"][there] >= 0]
+            yield rows.assign(credits=list(credit))
     return walk

@@ -22,23 +22,23 @@ def as_placements(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def write_placements(df: DataFrame, path: str, mode: str = "error", partitions: int | None = None,
-                     slices: int = 8) -> None:
+def write_placements(df: DataFrame, path: str, mode: str = "error", partitions: int | None = None) -> None:
     """Write placements clustered by time.
 
-    One shuffle on the hour and a slice of the row ids: a task holds a few hours and
-    writes their day folders, sorted, so that row-group statistics on `ts` are narrow
-    enough to skip by, and a busy hour is still split. Unlike a range partitioning it
-    does not run the input twice to find its bounds, so raw text is parsed once.
+    One shuffle on the hour: a task holds a few hours and writes their day folders, sorted, so that
+    row-group statistics on `ts` are narrow enough to skip by. Adaptive execution sees the measured sizes
+    and rebalances them: an hour is cut into as many parts of the advisory size as it needs, and quiet
+    hours are put together. Unlike a range partitioning this does not run the input twice to find its
+    bounds, so raw text is parsed once.
 
     With mode "append" the row ids go on after those of the table, so they stay unique.
     """
     if mode == "append":
         df = df.withColumn("event_id", F.col("event_id") + F.lit(next_event_id(df.sparkSession, path)))
-    keys = [F.date_trunc("hour", "ts"), F.pmod(F.xxhash64("event_id"), F.lit(slices))]
-    spread = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    by_hour = df.withColumn("_hour", F.date_trunc("hour", "ts"))
+    spread = by_hour.hint("rebalance", partitions, "_hour") if partitions else by_hour.hint("rebalance", "_hour")
     (
-        spread.withColumn(DAY, F.to_date("ts")).sortWithinPartitions(DAY, "ts", "event_id")
+        spread.drop("_hour").withColumn(DAY, F.to_date("ts")).sortWithinPartitions(DAY, "ts", "event_id")
         .write.mode(mode).option("compression", "zstd").partitionBy(DAY).parquet(path)
     )
 

@@ -133,7 +133,6 @@ def test_contributions_add_up_to_the_probability(study, monkeypatch):
     assert gap[0] == 480 and gap[1] < 1e-9
     biggest = model.forest_nodes(fitted, data.test.sparkSession).groupBy("tree").count().agg(F.max("count")).first()[0]
     monkeypatch.setattr(model, "NODES_PER_GROUP", biggest)
-    monkeypatch.setattr(model, "ROWS_PER_BLOCK", 100)
     assert max(model.tree_groups(model.forest_nodes(fitted, data.test.sparkSession))[0].values()) > 1
     parts = model.path_attribution(fitted, data.test)
     both = shares.join(parts.withColumnRenamed("contribution", "c"), ["event_id", "feature"])

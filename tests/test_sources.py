@@ -94,6 +94,23 @@ def test_ingestion_runs_its_input_once(spark, tmp_path):
     assert seen.value == 100
 
 
+def test_a_busy_hour_is_cut_by_its_size(spark, tmp_path):
+    """All rows but a few in one hour: as many files as their size asks for, each sorted and of like length."""
+    rows = spark.range(0, 400_000, 1, 16).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(F.col("id") % 1000 == 0, F.col("id") * 1_000_000).otherwise(F.pmod(F.xxhash64("id"), F.lit(3_600_000_000)))).alias("ts"),
+        F.xxhash64("id").alias("user_id"), F.lit("#000000").alias("pc"), (F.col("id") % 2000).cast("int").alias("x"), F.lit(1).alias("y"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        write_placements(rows, str(tmp_path / "p"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    day = spark.read.parquet(str(tmp_path / "p")).filter(F.col(DAY) == "2024-01-01").withColumn("file", F.input_file_name())
+    sizes = [r["count"] for r in day.filter("event_id % 1000 <> 0").groupBy("file").count().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 400_000 / 3 and sum(sizes) == 399_600
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 400_000
+
+
 def test_derived_table_is_zstd(spark, events, tmp_path):
     path = str(tmp_path / "derived")
     write_table(events.select("x", "y"), path)
