@@ -8,11 +8,15 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Rows of an Arrow batch: texts of some kilobytes each are held twice, by Spark and by the worker.
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Hand the package to Spark once per application; Spark brings it to every worker."""
+    """Hand the package to Spark once per application; Spark brings it to every worker. Batches of texts are kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
