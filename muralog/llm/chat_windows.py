@@ -109,14 +109,17 @@ def running(df: DataFrame, value: str, name: str) -> DataFrame:
 def spans(turns: DataFrame, budget: int, history: int, system_tokens: DataFrame) -> DataFrame:
     """Turns with the `window` in which they are new and `repeats`: whether the next window repeats them.
 
-    The room for new turns is what system turn and history leave of the budget. Prefix sums of the
-    turns' tokens, in cells of half that room, make the spans: a turn belongs to the cell in which it
-    ends, and a turn longer than a cell to a span of its own. So a span exceeds the room only if it is
-    one such turn.
+    The room for new turns is what system turn and history leave of the budget. A turn longer than half of
+    it is a span of its own. Prefix sums of the other turns' tokens make the spans, in cells of the room less
+    the conversation's longest such turn: a turn belongs to the cell in which it ends, so a span is at most
+    that turn longer than its cell, and exceeds the room only if it is one long turn.
     """
-    left = turns.join(system_tokens, F.col("conv_id").eqNullSafe(F.col("_sys_conv")), "left").withColumn(
-        "cell", F.greatest(F.lit(1), F.floor((budget - history - F.coalesce("system_tokens", F.lit(0))) / 2)))
-    long_turn = F.col("n_tokens") > F.col("cell")
+    room = F.greatest(F.lit(2), budget - history - F.coalesce("system_tokens", F.lit(0)))
+    left = turns.join(system_tokens, F.col("conv_id").eqNullSafe(F.col("_sys_conv")), "left").withColumn("room", room)
+    long_turn = F.col("n_tokens") > F.floor(F.col("room") / 2)
+    longest = stage(left.groupBy("conv_id").agg(F.coalesce(F.max(F.when(~long_turn, F.col("n_tokens"))), F.lit(1)).alias("longest")).select(
+        F.col("conv_id").alias("_long_conv"), "longest"), "longest-turns")
+    left = left.join(broadcast_if_small(longest), F.col("conv_id").eqNullSafe(F.col("_long_conv"))).withColumn("cell", F.greatest(F.lit(1), F.col("room") - F.col("longest")))
     sized = left.withColumns({"short": F.when(long_turn, 0).otherwise(F.col("n_tokens")), "long": F.when(long_turn, 1).otherwise(0)})
     sized = running(running(sized, "short", "short_end"), "long", "long_before")
     key = F.struct(
@@ -144,20 +147,20 @@ def format_windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, histo
     counted = stage(counted_turns(turns, tokenizer), "counted-turns")  # tokenized once, read twice
     written = stage(numbered(counted), "turns")
     is_system = (F.col("place") == 0) & (F.col("role") == "system")
-    systems = stage(written.where(is_system).select(
-        F.col("conv_id").alias("_sys_conv"), F.col("n_tokens").alias("system_tokens"), F.col("piece").alias("system_piece")), "system-turns")
-    spread = stage(spans(written.where(~is_system), budget, history, systems.select("_sys_conv", "system_tokens")).select(
-        "conv_id", "window", "place", "role", "piece", "n_tokens", "repeats"), "spans")
+    systems = stage(written.where(is_system).select(F.col("conv_id").alias("_sys_conv"), F.col("n_tokens").alias("system_tokens")), "system-turns")
+    # Texts stay behind until every turn has its windows.
+    spread = stage(spans(written.where(~is_system).drop("piece", "turn"), budget, history, systems).select(
+        "conv_id", "window", "place", "role", "n_tokens", "repeats"), "spans")
 
-    new = spread.select("conv_id", "window", F.lit(2).alias("part"), "place", "piece", "n_tokens", (F.col("role") == "assistant").alias("target"))
+    new = spread.select("conv_id", "window", F.lit(2).alias("part"), "place", "n_tokens", (F.col("role") == "assistant").alias("target"))
     next_windows = spread.select(F.col("conv_id").alias("_c"), F.col("window").alias("_w")).distinct()
-    again = spread.where("repeats").select("conv_id", (F.col("window") + 1).alias("window"), F.lit(1).alias("part"), "place", "piece", "n_tokens", F.lit(False).alias("target")).join(
+    again = spread.where("repeats").select("conv_id", (F.col("window") + 1).alias("window"), F.lit(1).alias("part"), "place", "n_tokens", F.lit(False).alias("target")).join(
         next_windows, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("window") == F.col("_w")), "left_semi")
     lone = systems.select(F.col("_sys_conv").alias("conv_id"), F.lit(0).cast("long").alias("window"))  # a system turn and no other
     heads = spread.select("conv_id", "window").union(lone).distinct().join(systems, F.col("conv_id").eqNullSafe(F.col("_sys_conv"))).select(
-        "conv_id", "window", F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.col("system_piece").alias("piece"),
-        F.col("system_tokens").alias("n_tokens"), F.lit(False).alias("target"))
-    entries = new.union(again).union(heads)
+        "conv_id", "window", F.lit(0).alias("part"), F.lit(0).cast("long").alias("place"), F.col("system_tokens").alias("n_tokens"), F.lit(False).alias("target"))
+    pieces = written.select(F.col("conv_id").alias("_c"), F.col("place").alias("_p"), "piece")
+    entries = new.union(again).union(heads).join(pieces, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("place") == F.col("_p"))).drop("_c", "_p")
     # One window's turns: as many as the budget holds.
     windows = entries.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(
         F.struct("part", "place", "piece", "n_tokens", "target"))).alias("turns"))

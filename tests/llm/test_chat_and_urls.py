@@ -67,6 +67,33 @@ def test_everything_reads_back(spark, turns):
     windows.unpersist()
 
 
+def test_long_conversations_fill_their_windows(spark):
+    """Four hundred short turns fill the windows; one long turn among them costs no other conversation anything."""
+    rng = random.Random(2)
+    rows = [(c, i, "user" if i % 2 else "assistant", words(c * 1000 + i, rng.randrange(3, 18))) for c in (1, 2) for i in range(400)]
+    rows += [(2, 400, "user", words(9, 2000))]
+    found = defaultdict(list)
+    for w in chat_windows.format_windows(spark.createDataFrame(rows, SCHEMA), TOKENIZER).select("conv_id", "window", "n_tokens").collect():
+        found[w.conv_id].append((w.window, w.n_tokens))
+    for windows in found.values():
+        fills = [n for _, n in sorted(windows)][1:-2]
+        assert len(fills) > 8 and sum(fills) / len(fills) >= 0.85 * chat_windows.BUDGET and max(fills) <= chat_windows.BUDGET
+
+
+def test_chat_query(spark, sf_dir):
+    from muralog.llm.queries import op5_chat_windows
+
+    sf_dir = sf_dir.replace("sf0.01", "sf0.001")
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()] + PROBE_TURNS
+    got = {r.conv_id: r for r in op5_chat_windows(spark, sf_dir).collect()}
+    want = plain(rows)
+    assert set(got) == set(want)
+    for c, v in want.items():
+        loss = "".join(x for r, x in v if r == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (
+            len(v), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in v).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_no_conversations(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert chat_windows.conversation_digests(chat_windows.format_windows(empty, TOKENIZER)).count() == 0
