@@ -180,13 +180,17 @@ def estimates(rows: DataFrame, key: str) -> DataFrame:
         determinant.alias("det"), reduce(add, [F.col(f"live{i}") for i in range(4)]).alias("dims")), "estimates")
 
 
-def in_deviations(rows: DataFrame, passed: DataFrame) -> DataFrame:
-    """`t*`: coordinates from their group's median, by how much the text says, in median deviations of that."""
+def deviations(passed: DataFrame) -> DataFrame:
+    """Median `c*` of each group's coordinates, and the median deviation `d*` from it, by how much the texts say."""
     medians = stage(passed.groupBy("group").agg(*[F.percentile_approx(z, 0.5, 1000).alias(f"c{i}") for i, z in enumerate(Z)]), "medians")
     off = [((F.col(z) - F.col(f"c{i}")) * F.col("say")).alias(T[i]) for i, z in enumerate(Z)]
     near = passed.join(broadcast_if_small(medians), "group").select("group", *off)
-    deviations = near.groupBy("group").agg(*[F.percentile_approx(F.abs(t), 0.5, 1000).alias(f"d{i}") for i, t in enumerate(T)])
-    scales = stage(medians.join(deviations, "group"), "deviations")
+    spread = near.groupBy("group").agg(*[F.percentile_approx(F.abs(t), 0.5, 1000).alias(f"d{i}") for i, t in enumerate(T)])
+    return stage(medians.join(spread, "group"), "deviations")
+
+
+def in_deviations(rows: DataFrame, scales: DataFrame) -> DataFrame:
+    """`t*`: coordinates from their group's median, by how much the text says, in median deviations of that."""
     return rows.join(broadcast_if_small(scales), "group", "left").select(
         *rows.columns, *[((F.col(z) - F.col(f"c{i}")) * F.col("say") / F.when(F.col(f"d{i}") > 0, F.col(f"d{i}") * 1.4826).otherwise(1.0)).alias(T[i]) for i, z in enumerate(Z)])
 
@@ -265,9 +269,9 @@ def judge(docs: DataFrame) -> DataFrame:
     passed = rows.where("not base_failed").select("group", *Z, "say")
     large = passed.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP).select("group")
     passed = stage(passed.join(broadcast_if_small(stage(large, "large-groups")), "group"), "quality-coordinates")
-    placed = in_deviations(rows, passed)
-    members = stage(in_deviations(passed, passed).select("group", *T), "quality-members")
-    judged = with_distance(placed, robust_estimates(members), "group")
+    scales = deviations(passed)
+    members = stage(in_deviations(passed, scales).select("group", *T), "quality-members")
+    judged = with_distance(in_deviations(rows, scales), robust_estimates(members), "group")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(F.col("d2") <= by_dims(CUTOFF), F.lit(True))).alias("kept"))
