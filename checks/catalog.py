@@ -12,7 +12,7 @@ from checks import fixture as fx
 from muralog.functions.clock import within
 from muralog.operators import (activity, baseline, charts, churn, diversity, evaluation, features, folds, heavy, intervals, model,
                                newcomers, rollups, sampling, sessions, spikes, tiles)
-from muralog.plans import survival
+from muralog.plans import reports, survival
 from muralog.sources import upkeep
 from muralog.sources.placements import read_placements, write_placements
 from muralog.sources.raw_log import ingest_placements, read_raw_log
@@ -603,3 +603,25 @@ def running_baseline(df):
 @query
 def running_spikes(df):
     return spikes.running_spikes(df, 2.0, "hour", 3600, least=2)
+
+
+# One table of each report, from the report itself
+
+@query
+def report_color_rank(df):
+    return reports.baseline_report(df, *fx.WINDOW, fx.SESSION_GAP)["color_rank"]
+
+
+@query
+def report_hot_edit_focus(df):
+    return reports.contested_pixels_report(df, fx.CHURN, fx.HOT, fx.HOTTEST, fx.TOP_USERS, fx.SESSION_GAP)["hot_edit_focus"]
+
+
+@query
+def report_user_spread(df):
+    return reports.low_diversity_report(df, fx.LOW_DIVERSITY["min_edits"], fx.LOW_DIVERSITY["max_colors"])["user_spread"]
+
+
+@query
+def report_spike_summary(df):
+    return reports.newcomer_spike_report(df, fx.SPIKE, unit=fx.UNIT)["spike_summary"]

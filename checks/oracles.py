@@ -388,3 +388,6 @@ ORACLES = {
           e AS (SELECT minute, first_time_users, median, mad, (first_time_users - median) / (CASE WHEN mad = 0 THEN 1 ELSE mad END * 1.4826::DOUBLE) AS score FROM d)
         SELECT minute, first_time_users, round(median, 6) AS median, round(mad, 6) AS mad, round(score, 6) AS score FROM e WHERE score >= 2.0""", "new_per_unit"),
 }
+
+# A report's table is the operator's.
+ORACLES |= {f"report_{name}": ORACLES[name] for name in ("color_rank", "hot_edit_focus", "user_spread", "spike_summary")}
