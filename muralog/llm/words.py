@@ -70,11 +70,11 @@ class Memo:
         """Start and length of each word's run, and the numbers the runs point into."""
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self._new.slot) + len(distinct) > MEMO_WORDS // 2 or len(self._new.flat) > self._most // 2:
-            self._new, self._old = _Runs(self._dtype), self._new
-        new, old = self._new, self._old
-        found = list(map(new.slot.get, distinct))
+        found = list(map(self._new.slot.get, distinct))
         missing = [w for w, slot in zip(distinct, found) if slot is None]
+        if len(self._new.slot) + len(missing) > MEMO_WORDS // 2 or len(self._new.flat) > self._most // 2:
+            self._new, self._old, missing = _Runs(self._dtype), self._new, distinct
+        new, old = self._new, self._old
         if missing:
             before = list(map(old.slot.get, missing))
             known = [slot for slot in before if slot is not None]
