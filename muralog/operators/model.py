@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muralog.sources.scratch import scratch_path, scratch_root, stage
@@ -46,15 +46,23 @@ def with_class_weight(train: DataFrame, label: str) -> DataFrame:
 
 
 def score_survival(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add `survival_prob` (class 1) and the predicted class `prediction`."""
+    """Add `survival_prob` (class 1) and the predicted class `prediction`.
+
+    A forest that was fitted without rows of class 1 knows class 0 alone; its `survival_prob` is 0.
+    """
     scored = model.transform(df)
     return (
-        scored.withColumn("survival_prob", vector_to_array("probability")[1])
+        scored.withColumn("survival_prob", _of_class_1(vector_to_array("probability")))
         .withColumn("prediction", F.col("prediction").cast("int"))
         .drop("features", "rawPrediction", "probability")
     )
 
 
+def _of_class_1(values: Column) -> Column:
+    """The second of a list by class, 0 where the list ends before it."""
+    return F.coalesce(F.get(values, F.lit(1)), F.lit(0.0))
+
+
 def model_importance(model: PipelineModel, spark) -> DataFrame:
     """`feature, importance` by impurity decrease, as the fitted forest reports it."""
     names, weights = model.stages[0].getInputCols(), model.stages[-1].featureImportances.toArray()

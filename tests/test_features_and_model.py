@@ -140,6 +140,15 @@ def test_contributions_add_up_to_the_probability(study, monkeypatch):
     assert both.agg(F.max(F.abs(F.col("c") - F.col("contribution")))).first()[0] < 1e-9
 
 
+def test_a_study_without_survivors(spark):
+    """Where no pixel of the train part survives, the forest knows class 0 alone."""
+    rows = [(i, float(i % 7), float(i % 3), 0) for i in range(60)]
+    table = spark.createDataFrame(rows, "event_id long, a double, b double, y int")
+    fitted = model.fit_survival_model(table, ["a", "b"], "y", num_trees=3, max_depth=3)
+    scored = model.score_survival(fitted, table).collect()
+    assert len(scored) == 60 and {(r.survival_prob, r.prediction) for r in scored} == {(0.0, 0)}
+
+
 def test_a_tree_above_the_bound_is_refused(study, monkeypatch):
     data, fitted = study
     monkeypatch.setattr(model, "NODES_PER_GROUP", 2)
