@@ -79,11 +79,12 @@ def forest_nodes(model: PipelineModel, spark) -> DataFrame:
     path = scratch_path(spark, "forest")
     model.stages[-1].write().save(path)
     n = F.col("nodeData")
+    survived = _of_class_1(n["impurityStats"])
     return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"), n["id"].alias("node"),
         n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
         n["leftChild"].alias("left"), n["rightChild"].alias("right"),
-        F.try_divide(n["impurityStats"][1], n["impurityStats"][0] + n["impurityStats"][1]).alias("prob"),
+        F.try_divide(survived, n["impurityStats"][0] + survived).alias("prob"),
     )
 
 

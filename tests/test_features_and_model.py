@@ -147,6 +147,9 @@ def test_a_study_without_survivors(spark):
     fitted = model.fit_survival_model(table, ["a", "b"], "y", num_trees=3, max_depth=3)
     scored = model.score_survival(fitted, table).collect()
     assert len(scored) == 60 and {(r.survival_prob, r.prediction) for r in scored} == {(0.0, 0)}
+    shares = model.path_attribution(fitted, table).collect()
+    assert len({(r.event_id, r.feature) for r in shares}) == len(shares) == 120
+    assert {(r.contribution, r.base_value) for r in shares} == {(0.0, 0.0)}
 
 
 def test_a_tree_above_the_bound_is_refused(study, monkeypatch):
