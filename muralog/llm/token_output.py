@@ -29,6 +29,8 @@ TOKENS_PER_FILE = 1 << 22
 MOST_FILES = 20_000
 # Tokens that are coded at once.
 PART_TOKENS = 1 << 20
+# Texts that are encoded at once, in bytes: the words, places and ids of a slice take many times its own length.
+TEXT_BYTES = 3 << 20
 
 FILE_SCHEMA = "doc_id long, file int, before long, n_tokens long, control binary, data binary"
 
@@ -83,7 +85,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None
         encoder, part = Encoder.of(tokenizer, end_id), TaskContext.get().partitionId()
         written: dict[str | None, int] = defaultdict(int)
         for batch in batches:
-            for rows in slices(batch):
+            for rows in slices(batch, limit=TEXT_BYTES):
                 ids, ends = encoder.encode(rows.column("text"))
                 n_tokens = np.diff(ends, prepend=0)
                 out = [rows.column("doc_id"), pa.array(n_tokens), runs_of_bytes(ids.astype(f"<u{width}"), ends)]
@@ -96,6 +98,7 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int, queue: str | None
                 if keep:
                     out.append(rows.column(keep))
                 yield pa.RecordBatch.from_arrays(out, names)
+            pa.default_memory_pool().release_unused()  # Arrow else keeps the most that a worker ever used
 
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([queue] if queue else []), *([keep] if keep else []), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids binary" + (f", {queue} string, part int, before long" if queue else "") + (f", {keep} string" if keep else "")

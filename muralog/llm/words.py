@@ -18,6 +18,8 @@ PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 # What a memo holds at most, in words and in numbers; results do not depend on it.
 MEMO_WORDS = 400_000
 MEMO_NUMBERS = 16_000_000
+# Words that go through a tokenizer at once.
+WORDS_AT_ONCE = 8_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -38,20 +40,24 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 
 
 class _Runs:
-    """A run of numbers for each of some words."""
+    """A run of numbers for each of some words, which are one Arrow array: Python strings in a dict take several times the memory."""
 
     def __init__(self, dtype) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot = pa.array([], pa.large_string())
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, dtype)
 
-    def add(self, words: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words))))
+    def add(self, words: pa.Array, lengths: np.ndarray, flat: np.ndarray) -> None:
+        self.slot = pa.concat_arrays([self.slot, words])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.flat = np.concatenate([self.flat, flat])
 
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word here, or -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.slot), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
 
 class Memo:
     """Values of distinct words, computed once per worker as long as they stay in use: each word has a run of numbers.
@@ -68,24 +74,25 @@ class Memo:
 
     def lookup(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each word's run, and the numbers the runs point into."""
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self._new.slot.get, distinct))
-        missing = [w for w, slot in zip(distinct, found) if slot is None]
+        coded = words.cast(pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary
+        slots = self._new.find(distinct)
+        missing = np.flatnonzero(slots < 0)
         if len(self._new.slot) + len(missing) > MEMO_WORDS // 2 or len(self._new.flat) > self._most // 2:
-            self._new, self._old, missing = _Runs(self._dtype), self._new, distinct
+            self._new, self._old, missing = _Runs(self._dtype), self._new, np.arange(len(distinct))
         new, old = self._new, self._old
-        if missing:
-            before = list(map(old.slot.get, missing))
-            known = [slot for slot in before if slot is not None]
-            if known:
-                known = np.array(known)
-                new.add([w for w, slot in zip(missing, before) if slot is not None], old.lengths[known], expand(old.starts[known], old.lengths[known], old.flat))
-            unknown = [w for w, slot in zip(missing, before) if slot is None]
-            if unknown:
-                new.add(unknown, *self._values(unknown))
-            found = list(map(new.slot.get, distinct))
-        slots = np.asarray(found, np.int64)[np.asarray(coded.indices)]
+        if len(missing):
+            before = old.find(distinct.take(pa.array(missing)))
+            known, unknown = missing[before >= 0], missing[before < 0]
+            before = before[before >= 0]
+            slots[known] = len(new.slot) + np.arange(len(known))
+            if len(known):
+                new.add(distinct.take(pa.array(known)), old.lengths[before], expand(old.starts[before], old.lengths[before], old.flat))
+            slots[unknown] = len(new.slot) + np.arange(len(unknown))
+            if len(unknown):
+                words = distinct.take(pa.array(unknown))
+                new.add(words, *self._values(words.to_pylist()))
+        slots = slots[np.asarray(coded.indices)]
         return new.starts[slots], new.lengths[slots], new.flat
 
 
@@ -149,6 +156,12 @@ class Encoder:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
     def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Some words at a time, since lists of ids take many times the memory of the ids."""
+        some = [self._of_some(words[i:i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        lengths, flat = zip(*some)
+        return np.concatenate(lengths), np.concatenate(flat)
+
+    def _of_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of plain lower-case letters go to the vocabulary's merges directly."""
         plain = [self._letters and PLAIN(w) is not None for w in words]
         merge, letters = self._tokenizer.model.tokenize, self._letters

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -66,6 +67,20 @@ def test_memo_keeps_what_comes_again(monkeypatch):
     assert computed.count("always") == 1 and len(computed) < 90
 
 
+def test_memo_takes_little_memory():
+    """A word takes its bytes and a few numbers."""
+    def values(ws):
+        return np.ones(len(ws), np.int64), np.full(len(ws), 7, np.uint32)
+
+    tracemalloc.start()
+    memo, held = words.Memo(values, np.uint32), pa.total_allocated_bytes()
+    for begin in (0, 150_000, 300_000, 0):
+        memo.lookup(pa.array([f"word{i}" for i in range(begin, begin + 150_000)], pa.large_string()))
+    taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
+    tracemalloc.stop()
+    assert taken < 90 * (len(memo._new.slot) + len(memo._old.slot))
+
+
 def test_files_hold_every_text_in_order(spark, docs_of, odd_rows):
     rows = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0]))
     got = token_output.token_digests(docs_of(odd_rows), TOKENIZER, END_ID).collect()
