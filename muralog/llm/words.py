@@ -16,7 +16,7 @@ SLICE_BYTES = 8 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 PLAIN = re.compile(f"[{LETTERS}]+").fullmatch
 # What a memo holds at most, in words and in numbers; results do not depend on it.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 700_000
 MEMO_NUMBERS = 16_000_000
 # Words that go through a tokenizer at once.
 WORDS_AT_ONCE = 8_000

@@ -67,9 +67,12 @@ def test_memo_keeps_what_comes_again(monkeypatch):
     assert computed.count("always") == 1 and len(computed) < 90
 
 
-def test_memo_takes_little_memory():
-    """A word takes its bytes and a few numbers."""
+def test_memo_takes_little_memory_and_holds_many_words():
+    """A word takes its bytes and a few numbers; words among some hundred thousand others are not computed again."""
+    computed = []
+
     def values(ws):
+        computed.append(len(ws))
         return np.ones(len(ws), np.int64), np.full(len(ws), 7, np.uint32)
 
     tracemalloc.start()
@@ -78,6 +81,7 @@ def test_memo_takes_little_memory():
         memo.lookup(pa.array([f"word{i}" for i in range(begin, begin + 150_000)], pa.large_string()))
     taken = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - held
     tracemalloc.stop()
+    assert sum(computed) == 450_000
     assert taken < 90 * (len(memo._new.slot) + len(memo._old.slot))
 
 
