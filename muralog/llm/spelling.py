@@ -172,6 +172,15 @@ def letter_marks(word: str) -> int:
     return marks
 
 
+def merge_join(left: DataFrame, right: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """A join that sorts both sides and broadcasts neither, whatever size Spark takes them for.
+
+    Spark goes by the compressed files, in which a million words are a few megabytes, even for the index, which has
+    a dozen rows a word. By that size the whole index would be collected at the driver.
+    """
+    return left.join(right.hint("merge"), column, how)
+
+
 def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAST_FREQUENCY, longest: int = LONGEST_GRAM) -> DataFrame:
     """`word`, `other`: all pairs of the given distinct words (two letters at least) that differ by one edit, in both directions."""
     held, frequent = gram_dictionary(words, most_grams, least, longest)
@@ -211,7 +220,7 @@ def near_pairs(words: DataFrame, most_grams: int = MOST_GRAMS, least: int = LEAS
     index = words.mapInArrow(listed, schema).select(F.col("word").alias("other"), F.col("marks").alias("other_marks"), key)
     lists = words.mapInArrow(probed, schema).select("word", "marks", key)
     # Most words of a list differ in more letters than one edit explains, which the marks tell at once.
-    alike = lists.join(index, "key").where(F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= 2)
+    alike = merge_join(lists, index, "key").where(F.bit_count(F.col("marks").bitwiseXOR(F.col("other_marks"))) <= 2)
     met = alike.where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1))
     once = met.select("word", "other").distinct()
     both = F.when(F.length("word") == F.length("other"), F.array(F.struct("word", "other"))).otherwise(
@@ -224,7 +233,7 @@ def roots(forms: DataFrame) -> DataFrame:
     found = stage(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onwards = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        followed = stage(found.join(onwards, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        followed = stage(merge_join(found, onwards, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         found = followed.select("word", "root")
         if followed.where("moved").isEmpty():
             return found
@@ -243,12 +252,12 @@ def variants(docs: DataFrame, least_chars: int = 7, least_n: int = 2, ratio: int
     words = stage(word_counts(docs, least_chars, least_n, slip), "words")
     pairs = stage(near_pairs(words), "near-words")
     others = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
-    best = pairs.join(others, "other").groupBy("word").agg(
+    best = merge_join(pairs, others, "other").groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("back"), "other")).alias("best"))
     frequent = -F.col("best.back")
     formed = F.when(frequent >= ratio * F.col("n"), F.col("best.other"))
-    known = stage(words.join(best, "word", "left").select(
+    known = stage(merge_join(words, best, "word", "left").select(
         "word", formed.alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
         F.when(formed.isNotNull(), frequent).alias("form_n")), "word-forms")
     ends = roots(known.where("form is not null"))
-    return known.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return merge_join(known, ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

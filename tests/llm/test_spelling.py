@@ -120,6 +120,22 @@ def test_probes_are_apart_and_listed():
             x == len(other) - len(word) + c for x, _ in grams))
 
 
+def test_no_join_is_broadcast(docs_of, monkeypatch):
+    """Spark sizes the tables of words by their compressed files; a join that went by that would collect the index at the driver."""
+    plans, write = [], spelling.stage
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(spelling, "stage", seen)
+    rows = corpus(5)
+    out = spelling.variants(docs_of(rows), slip=31)
+    assert rows_of(out) == plain_variants(rows, slip=31)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())  # as it was run, joins may be changed until then
+    assert sum("SortMergeJoin" in p for p in plans) >= 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_odd_rows(docs_of, odd_rows, no_docs):
     rows = [(r[0], r[1]) for r in odd_rows] + [(50, "Änderung, änderung ÄNDERUNG ×÷×÷×÷× ×÷×÷×÷× Überlänge überlänge"), (None, "wörtlich " * 12 + "worttlich wortlich wortlich")]
     assert rows_of(spelling.variants(docs_of(odd_rows + rows[len(odd_rows):]), least_chars=2, slip=3)) == plain_variants(rows, least_chars=2, slip=3)
